@@ -69,7 +69,7 @@ def orphan_report(spark: SparkSession, root: str) -> DataFrame:
 def orphan_cascade(spark: SparkSession, root: str) -> DataFrame:
     """(record, src, dst, type, orphan, round): every orphaned record, direct (round 0) or inherited.
 
-    Records are symbols (src = id, dst and type null) and edges. Starting from the direct orphans of
+    Records are symbols (src = id, dst and type null) and edges; ids are given as strings. Starting from the direct orphans of
     ``orphan_references``, a symbol inherits the state from any symbol it refers to; each round is one semi-join of the
     references to the symbols that were new in the round before, so a symbol is visited once and reference cycles end.
     An edge inherits it from either endpoint. ``round`` is the length of the shortest chain to a direct orphan.
@@ -87,11 +87,11 @@ def orphan_cascade(spark: SparkSession, root: str) -> DataFrame:
         if frontier.isEmpty():
             break
         known = known.union(frontier)
-    symbols = known.select(F.lit("symbol").alias("record"), F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("string").alias("type"), "round")
+    symbols = known.select(F.lit("symbol").alias("record"), F.col("id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("type"), "round")
     e = edges_once(spark, root, [])
     bad = direct.where("ref_field <> 'symbols.repr_L3_refs'").select(F.when(F.col("ref_field") == "edges.dst", F.col("owner_id")).otherwise(F.col("ref_id")).alias("src"), F.when(F.col("ref_field") == "edges.dst", F.col("ref_id")).otherwise(F.col("owner_id")).alias("dst"), F.lit(0).alias("d0")).distinct()
     j = e.select("src", "dst", "type").join(bad.withColumnsRenamed({"src": "s", "dst": "d"}), F.col("src").eqNullSafe(F.col("s")) & F.col("dst").eqNullSafe(F.col("d")), "left").drop("s", "d")
     at = lambda c, n: known.select(F.col("id").alias(c), F.col("round").alias(n))
     j = j.join(at("src", "rs"), "src", "left").join(at("dst", "rd"), "dst", "left")
-    edges = j.select(F.lit("edge").alias("record"), "src", "dst", "type", F.coalesce("d0", F.least("rs", "rd") + 1).alias("round")).where("round is not null")
+    edges = j.select(F.lit("edge").alias("record"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", F.coalesce("d0", F.least("rs", "rd") + 1).alias("round")).where("round is not null")
     return symbols.union(edges).withColumn("orphan", F.when(F.col("round") == 0, "direct").otherwise("inherited"))
