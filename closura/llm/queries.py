@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from closura.llm import vectors
-from closura.sources.tables import table
+from pyspark.sql import functions as F
+
+from closura.llm import near_duplicates, vectors
+from closura.sources.tables import symbols_once, table
+
+
+def _symbol_texts(s, d):
+    return symbols_once(s, d, ["repr_L3_text"]).select("id", F.col("repr_L3_text").alias("text"))
+
+
+def _near(s, d):
+    return near_duplicates.NearDuplicates(_symbol_texts(s, d), words=3, t=0.7, least=30)
+
 
 QUERIES = {
     "p1_found": lambda s, d: vectors.similar_pairs(table(s, d, "vector_index")),
     "p1_neighbours": lambda s, d: vectors.similar_vectors(table(s, d, "vector_index")),
+    "p4_found": lambda s, d: _near(s, d).pairs().select("id_a", "id_b"),
+    "p4_groups": lambda s, d: _near(s, d).groups(),
 }
 
 _P1 = """
@@ -16,7 +29,16 @@ v AS (SELECT ids AS id, min(CAST(embeddings AS DOUBLE[64])) AS e FROM vector_ind
 n AS (SELECT a.id, b.id AS nbr, round(array_cosine_similarity(a.e, b.e), 9) AS sim FROM v a JOIN v b ON a.id <> b.id),
 t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, nbr) AS rank FROM n QUALIFY rank <= 10)"""
 
+_P4 = """
+s AS (SELECT id, arg_min(repr_L3_text, loaded_at) AS text FROM symbols GROUP BY id),
+w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS t FROM s WHERE text IS NOT NULL),
+g AS (SELECT DISTINCT id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] AS g FROM (SELECT id, t, unnest(range(1, len(t) - 1)) AS i FROM w WHERE len(t) >= 30)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS bo FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+f AS (SELECT id_a, id_b, bo / (x.n + y.n - bo) AS sim FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE bo >= 0.7 * (x.n + y.n - bo) - 1e-9)"""
+
 SQL = {
+    "p4_found": f"WITH {_P4} SELECT id_a, id_b FROM f",
     "p1_found": f"WITH {_P1} SELECT DISTINCT least(id, nbr) AS id_a, greatest(id, nbr) AS id_b FROM t",
     "p1_neighbours": f"WITH {_P1} SELECT id, nbr, sim, rank FROM t",
 }
