@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from closura.plans.staging import Stage
@@ -28,7 +28,10 @@ from closura.sources.tables import edge_type, symbols_once, table
 
 PEEL, BUCKET = 24, 4096
 ENTER, EXIT = -1, -2  # element kinds; kinds from 0 on are leaf runs, by bucket
-HIER = F.when(F.col("h") == 0, "inherits").otherwise("contains")
+
+
+def _hier() -> Column:
+    return F.when(F.col("h") == 0, "inherits").otherwise("contains").alias("hier")
 
 
 def symbol_links(spark: SparkSession, root: str) -> DataFrame:
@@ -229,14 +232,14 @@ def hierarchy_roots(spark: SparkSession, root: str) -> DataFrame:
     cycle that it is on or reaches, by the smallest id of the cycle. Cycles that share a symbol count as one (the
     strongly connected component). Empty tables, nulls, repeated rows and unknown ends: see ``symbol_links``.
     """
-    return Hierarchy(symbol_links(spark, root)).reach().select(HIER.alias("hier"), "id", F.col("root").alias("root_id"), "depth")
+    return Hierarchy(symbol_links(spark, root)).reach().select(_hier(), "id", F.col("root").alias("root_id"), "depth")
 
 
 def hierarchy_intervals(spark: SparkSession, root: str) -> DataFrame:
     """(hier, id, root_id, depth, n_below, hi, lo) of the forest: the descendants of id are the nodes with the same root
     and lo < hi' < hi; their number is n_below, so they are kept in two numbers a node instead of one row a pair."""
     t = Hierarchy(symbol_links(spark, root)).nodes
-    return t.select(HIER.alias("hier"), "id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), (F.col("hi") - F.col("lo") - 1).alias("n_below"), "hi", "lo")
+    return t.select(_hier(), "id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), (F.col("hi") - F.col("lo") - 1).alias("n_below"), "hi", "lo")
 
 
 def hierarchy_paths(spark: SparkSession, root: str) -> DataFrame:
@@ -253,4 +256,4 @@ def hierarchy_paths(spark: SparkSession, root: str) -> DataFrame:
         jumped = live.join(at, ["h", "to"]).select("h", "id", F.col("t2").alias("to"), F.concat_ws("/", "p2", "path").alias("path"))
         before, a = a, h.stage.put(a.where("to is null").union(jumped))
         h.stage.drop(before)
-    return a.select(HIER.alias("hier"), "id", "path")
+    return a.select(_hier(), "id", "path")
