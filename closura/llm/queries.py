@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from closura.llm import near_duplicates, vectors
+from closura.llm import leakage, near_duplicates, vectors
 from closura.sources.tables import symbols_once, table
 
 
@@ -21,6 +21,8 @@ QUERIES = {
     "p1_neighbours": lambda s, d: vectors.similar_vectors(table(s, d, "vector_index")),
     "p4_found": lambda s, d: _near(s, d).pairs().select("id_a", "id_b"),
     "p4_groups": lambda s, d: _near(s, d).groups(),
+    "p6_found": lambda s, d: leakage.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p6_paraphrases": lambda s, d: leakage.paraphrased_items(table(s, d, "documents"), table(s, d, "eval_items")),
 }
 
 _P1 = """
@@ -37,7 +39,14 @@ n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
 c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS bo FROM g a JOIN g b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
 f AS (SELECT id_a, id_b, bo / (x.n + y.n - bo) AS sim FROM c JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE bo >= 0.7 * (x.n + y.n - bo) - 1e-9)"""
 
+_P6 = """
+d AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM eval_items WHERE text IS NOT NULL),
+x AS (SELECT id, array_to_string(t[n:n + 11], ' ') AS g FROM (SELECT id, t, unnest(range(1, len(t) - 10)) AS n FROM d)),
+y AS (SELECT id, array_to_string(t[n:n + 11], ' ') AS g FROM (SELECT id, t, unnest(range(1, len(t) - 10)) AS n FROM i))"""
+
 SQL = {
+    "p6_found": f"WITH {_P6} SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM x JOIN y ON x.g = y.g",
     "p4_found": f"WITH {_P4} SELECT id_a, id_b FROM f",
     "p1_found": f"WITH {_P1} SELECT DISTINCT least(id, nbr) AS id_a, greatest(id, nbr) AS id_b FROM t",
     "p1_neighbours": f"WITH {_P1} SELECT id, nbr, sim, rank FROM t",
