@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from closura.llm import leakage, near_duplicates, residue, vectors
+from closura.llm import leakage, mixing, near_duplicates, residue, vectors
 from closura.sources.tables import symbols_once, table
 
 
@@ -23,6 +23,8 @@ QUERIES = {
     "p4_groups": lambda s, d: _near(s, d).groups(),
     "p6_found": lambda s, d: leakage.leaked_items(table(s, d, "documents"), table(s, d, "eval_items")),
     "p6_paraphrases": lambda s, d: leakage.paraphrased_items(table(s, d, "documents"), table(s, d, "eval_items")),
+    "p7_mix": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "source_weights")).selection(),
+    "p7_shares": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "source_weights")).shares(),
     "p8_found": lambda s, d: residue.residue(table(s, d, "documents")).select("doc_id"),
     "p8_kinds": lambda s, d: residue.residue(table(s, d, "documents")),
 }
