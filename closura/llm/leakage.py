@@ -135,6 +135,10 @@ class Items:
             s = np.unique(np.r_[np.arange(0, len(h) - length + 1, stride), len(h) - length])
             item.append(np.full(len(s), i)), start.append(s), z.append(latent.windows(h, s, length))
         self.item, self.start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (item, start))
+        place = np.cumsum([0, *(len(h) for h in self.h.values())])[:-1]
+        self.flat = np.concatenate(list(self.h.values())) if self.h else np.zeros(0, np.uint64)
+        at = dict(zip(self.h, place.tolist(), strict=True))
+        self.place = np.array([at[i] for i in self.item.tolist()], np.int64) + self.start  # of each window in ``flat``
         self.z = np.concatenate(z) if z else np.zeros((0, RANK), np.float32)
         k = max(1, int(len(self.z) ** 0.5))
         rng = np.random.default_rng(7)
@@ -209,18 +213,37 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12) -> DataF
     held = docs.sparkSession.sparkContext.broadcast((latent, Items(rows, latent, WINDOW, 1)))  # of fixed size: 4096 rows of the map, and the fixed item table
     stride = run - WINDOW + 1
 
+    def piece(lat: Latent, it: Items, ids: list[int], texts: list[np.ndarray], out: set[tuple[int, int]]) -> None:
+        """Search the windows of several documents at once."""
+        h, ends = np.concatenate(texts), np.cumsum([len(x) for x in texts])
+        begins = ends - [len(x) for x in texts]
+        starts = np.concatenate([np.arange(lo, hi - WINDOW + 1, stride) for lo, hi in zip(begins, ends, strict=True)])
+        for p in range(0, len(starts), PIECE):
+            at = starts[p : p + PIECE]
+            r, w = it.search(lat.windows(h, at, WINDOW), 0.98, 2)
+            equal = np.ones(len(r), bool)
+            for i in range(WINDOW):
+                equal &= h[at[r] + i] == it.flat[it.place[w] + i]
+            for x, y in zip(at[r[equal]].tolist(), w[equal].tolist(), strict=True):
+                d = int(np.searchsorted(ends, x, side="right"))
+                key = ids[d], int(it.item[y])
+                if key not in out and run_length(texts[d], x - int(begins[d]), it.h[key[1]], int(it.start[y]), run) >= run:
+                    out.add(key)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, it = held.value
         for b in batches:
             out: set[tuple[int, int]] = set()
-            for i, h in _texts(b):
-                for p in range(0, max(len(h) - run + 1, 0), PIECE):
-                    starts = np.arange(p - p % stride, min(len(h) - WINDOW + 1, p + PIECE), stride)
-                    r, w = it.search(lat.windows(h, starts, WINDOW), 0.98, 2) if len(it.z) else ((), ())
-                    for x, y in zip(r, w, strict=True):
-                        item = int(it.item[y])
-                        if (i, item) not in out and run_length(h, int(starts[x]), it.h[item], int(it.start[y]), run) >= run:
-                            out.add((i, item))
+            ids, texts, n = [], [], 0
+            for i, h in _texts(b) if len(it.z) else ():
+                if len(h) >= run:
+                    ids.append(i), texts.append(h)
+                    n += len(h)
+                if n > 4 * PIECE:
+                    piece(lat, it, ids, texts, out)
+                    ids, texts, n = [], [], 0
+            if ids:
+                piece(lat, it, ids, texts, out)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
 
     return docs.mapInArrow(find, "doc_id long, item_id long").distinct()
