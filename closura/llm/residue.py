@@ -88,6 +88,8 @@ MASH = frozenset("abc aaa bbb ccc ddd xxx yyy zzz qwe rty asd fgh hjkl jkl qwert
 NEUTRAL = re.compile(
     r"^(?:[-=*_#\s|.]+|parameters|returns|raises|yields|examples?|notes?|type|x : type|loading ?\.*|home|index|imprint|impressum|inicio|accueil|startseite|contact|kontakt|help|about|login|log ?in|sign ?in|sign up|log ?out|search|back(?: to \w+)*|menu|oops!?|proxy/[\d.#]+|(?:\(c\)|©|copyright).*|reference:? .*|ray #.*|request #.*|(?:\w+)(?: [|·/>] \w+)+)$"
 )
+#: Words of which each match of ERROR or FILLER that has words holds one (a quick test before the patterns).
+_SIGNS = frozenset("error errors erreur fehler http internal bad service gateway not forbidden unauthorized unauthorised too request payment gone method conflict page seite adresse introuvable trouvée existe encontrada access permission session sign limited robot human wrong try upstream serveur réessayez results unavailable find status code fault html retry server responde antwortet could couldn cannot can maintenance".split()) | frozenset("hier platzhalter texto texte written blank write replace no what coming under content description text point item bullet step thing line entry element".split())
 _MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+(?:[.,:]\d+)*")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -108,7 +110,9 @@ def residue_line(line: str) -> bool:
         return False
     if words and all(w in MASH for w in words) or re.fullmatch(r"#(?: #)+", line):
         return True
-    return bool(NOTICE.search(line) or ERROR.search(line) or FILLER.search(line))
+    if ("script" in line or "browser" in line) and NOTICE.search(line):
+        return True
+    return (not words or not _SIGNS.isdisjoint(words)) and bool(ERROR.search(line) or FILLER.search(line))
 
 
 _TITLE = re.compile(r"^(?:#+ )?[^.?!;]*(?:\.\w[^.?!;]*)*$")
