@@ -12,7 +12,7 @@ from closura.functions import text as T
 from closura.operators import candidates as C
 from closura.operators import cone, emission, packing, retrieval, seeds
 from closura.operators.graph import PROFILES, Graph
-from closura.plans import harness
+from closura.plans import cypher, harness
 from closura.sources import graph_io
 from closura.sources.tables import edge_type, symbols_once, table
 
@@ -597,3 +597,15 @@ def _(s, d):
 @query("sampled_trials")
 def _(s, d):
     return harness.sampled_seeds(Graph.load(s, d))
+
+
+# --- the store's query language ------------------------------------------------------------------------------------------
+def _cypher(name: str, text: str, sql: str) -> None:
+    query(name, sql)(lambda s, d: cypher.run(text, Graph.load(s, d)))
+
+
+_cypher("cypher_typed_match", "MATCH (a:Symbol)-[:CALLS]->(b:Symbol) WHERE a.kind = 'method' AND NOT b.kind = 'class' RETURN a.id AS src, b.id AS dst", "SELECT src, dst FROM e JOIN s a ON a.id = src JOIN s b ON b.id = dst WHERE type = 'CALLS' AND a.kind = 'method' AND NOT b.kind = 'class'")
+_cypher("cypher_reverse_aggregate", "MATCH (b)<-[:INHERITS_FROM]-(a) RETURN b.fqn AS base, count(*) AS n, min(a.fqn) AS least", "SELECT b.fqn AS base, count(*) AS n, min(a.fqn) AS least FROM e JOIN s a ON a.id = src JOIN s b ON b.id = dst WHERE type = 'INHERITS_FROM' GROUP BY 1")
+_cypher("cypher_walk", "MATCH (a:Test)-[:CALLS*1..2]->(b) RETURN DISTINCT a.id AS src, b.id AS dst", "SELECT DISTINCT a.id AS src, x.dst FROM s a JOIN (SELECT src, dst FROM e WHERE type = 'CALLS' UNION SELECT x.src, y.dst FROM e x JOIN e y ON y.src = x.dst WHERE x.type = 'CALLS' AND y.type = 'CALLS') x ON x.src = a.id JOIN s b ON b.id = x.dst WHERE a.kind = 'test'")
+_cypher("cypher_union", "MATCH (a) WHERE a.fqn STARTS WITH 'cobaltbarn.' OR a.l3 > 400 RETURN a.kind AS kind, a.id AS id UNION MATCH (a:Test) RETURN a.kind AS kind, a.id AS id", "SELECT kind, id FROM s WHERE starts_with(fqn, 'cobaltbarn.') OR l3 > 400 UNION SELECT kind, id FROM s WHERE kind = 'test'")
+_cypher("cypher_top", "MATCH (a)-[:CALLS]->(b) RETURN b.id AS id, count(*) AS n ORDER BY n DESC, id SKIP 1 LIMIT 20", "SELECT dst AS id, count(*) AS n FROM e JOIN s a ON a.id = src JOIN s b ON b.id = dst WHERE type = 'CALLS' GROUP BY 1 ORDER BY n DESC, id LIMIT 20 OFFSET 1")
