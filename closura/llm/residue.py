@@ -3,15 +3,17 @@
 Trusted labels come from rules on whole lines: placeholders of templating systems in running text (code, quotations and
 traceback frames are removed first), and documents in which every line between a title and a footer is filler, an error
 message or a script notice. The second label is then spread to records that differ by small edits: bodies (without title
-and footer, numbers and ids masked) get a 64-bit SimHash of their character n-grams, are looked up in tables keyed by
-pairs of its eight bytes (two hashes at most HAMMING bits apart agree on two bytes), verified by Hamming distance and by
-the Jaccard similarity of the n-grams, and labels run through the connected components from the labelled records out.
+and footer, numbers and ids masked) get a 64-bit SimHash of their n-grams, are looked up in tables keyed by pairs of its
+PIECES pieces and by size (two hashes at most HAMMING bits apart agree on two of HAMMING + 2 pieces), verified by Hamming
+distance and by the Jaccard similarity of the n-grams, and labels run through the connected components from the labelled
+records out: only records near a labelled one are ever compared, so the tables meet a small side.
 Placeholders are never spread: the same text with its values filled in is a good record.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 from closura.llm.leakage import spread
 from closura.plans.staging import Stage
 
-HAMMING, GRAM, SIMILAR = 6, 4, 0.8
+HAMMING, GRAM, SIMILAR = 10, 4, 0.8
+PIECES = HAMMING + 2
 
 # --- placeholders -------------------------------------------------------------------------------------------------
 _NAME = r"[A-Za-z][A-Za-z0-9_ .-]{0,40}"
@@ -163,13 +166,14 @@ def simhash(g: np.ndarray) -> int:
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, marks, seeds, keys, sims, bodies = [], [], [], [], [], []
+        ids, marks, seeds, keys, sims, sizes, bodies = [], [], [], [], [], [], []
         for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
             lines, seed = body_lines(text)
             body = "\n".join(lines)
             ids.append(i), marks.append(placeholder(text)), seeds.append(seed), bodies.append(body)
-            keys.append(hashlib.blake2b(body.encode(errors="replace"), digest_size=16).digest()), sims.append(simhash(grams(body)))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(seeds, pa.bool_()), pa.array(keys, pa.binary()), pa.array(sims, pa.int64()), pa.array(bodies, pa.string())], names=["id", "mark", "seed", "key", "sim", "body"])
+            g = grams(body)
+            keys.append(hashlib.blake2b(body.encode(errors="replace"), digest_size=16).digest()), sims.append(simhash(g)), sizes.append(len(g))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(seeds, pa.bool_()), pa.array(keys, pa.binary()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.string())], names=["id", "mark", "seed", "key", "sim", "n", "body"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,21 +194,31 @@ def residue(documents: DataFrame) -> DataFrame:
     """
     spark, stage = documents.sparkSession, Stage(documents.sparkSession, "residue")
     docs = spread(documents.select(F.col("doc_id").alias("id"), "text").where(r"id is not null and text is not null and text rlike '\\S'"), "id")
-    read = stage.put(docs.mapInArrow(_read, "id long, mark boolean, seed boolean, key binary, sim long, body string"))
-    bodies = read.groupBy("key").agg(F.min("id").alias("b"), F.max("seed").alias("seed"), F.first("sim").alias("sim"))
+    read = stage.put(docs.mapInArrow(_read, "id long, mark boolean, seed boolean, key binary, sim long, n int, body string"))
+    bodies = read.groupBy("key").agg(F.min("id").alias("b"), F.max("seed").alias("seed"), F.first("sim").alias("sim"), F.first("n").alias("n"))
     bodies = stage.put(bodies)
     texts = read.select(F.col("id").alias("b"), "body")
-    pairs = [F.struct(F.lit(n).alias("t"), (F.shiftright(F.col("sim"), 8 * i).bitwiseAND(F.lit(255)) * 256 + F.shiftright(F.col("sim"), 8 * j).bitwiseAND(F.lit(255))).cast("int").alias("k")) for n, (i, j) in enumerate(combinations(range(8), 2))]
-    tables = lambda df: df.select("b", "sim", F.explode(F.array(*pairs)).alias("x")).select("b", "sim", "x.t", "x.k")
-    open_ = bodies.where("not seed").select("b", "sim")
-    front = done = bodies.where("seed").select("b", "sim")
+    cut = [i * 64 // PIECES for i in range(PIECES + 1)]
+    piece = [F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("int") for lo, hi in zip(cut, cut[1:], strict=False)]
+    band = F.floor(F.ln("n") / F.lit(-math.log(SIMILAR))).cast("int")  # similar sets are at most one band apart
+
+    def tables(df: DataFrame, reach: int) -> DataFrame:
+        keys = [((F.lit(t * 64) + piece[i]) * 64 + piece[j]) * 64 for t, (i, j) in enumerate(combinations(range(PIECES), 2))]
+        near = F.explode(F.array(*[F.greatest(band + d, F.lit(0)) for d in range(-reach, reach + 1)]))
+        return df.select("b", "sim", "n", near.alias("band")).select("b", "sim", "n", "band", F.explode(F.array(*keys)).alias("k")).select("b", "sim", "n", (F.col("k") + F.col("band")).alias("k"))
+
+    open_ = bodies.where("not seed").select("b", "sim", "n")
+    front = done = bodies.where("seed").select("b", "sim", "n")
     while True:
-        near = tables(open_).join(tables(front).select(F.col("b").alias("a"), F.col("sim").alias("sa"), "t", "k"), ["t", "k"]).where(F.bit_count(F.col("sim").bitwiseXOR(F.col("sa"))) <= HAMMING).select("a", "b").distinct()
+        ends = front.agg(F.min("n"), F.max("n")).first()
+        if ends[0] is None:
+            break
+        may = open_.where(F.col("n").between(SIMILAR * ends[0], ends[1] / SIMILAR))
+        near = tables(may, 0).join(tables(front, 1).select(F.col("b").alias("a"), F.col("sim").alias("sa"), F.col("n").alias("na"), "k"), "k")
+        near = near.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("sa"))) <= HAMMING) & (F.least("n", "na") >= SIMILAR * F.greatest("n", "na"))).select("a", "b").distinct()
         both = near.join(texts.select(F.col("b").alias("a"), F.col("body").alias("ba")), "a").join(texts.select("b", F.col("body").alias("bb")), "b")
         found = both.select("b", "ba", "bb").mapInArrow(_similar, "b long").distinct()
         front = stage.put(open_.join(found, "b", "left_semi"))
-        if front.isEmpty():
-            break
         done = done.union(front)
         open_ = stage.put(open_.join(front, "b", "left_anti"))
     spread_to = bodies.join(done.select("b"), "b", "left_semi").select("key", F.lit(True).alias("bad"))
