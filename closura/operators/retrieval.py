@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-QUERIES, BROADCAST, SALTS = 256, 4096, 64
+#: Queries in one block: a matrix of QUERIES rows goes to every task.
+QUERIES = 1024
 
 
 def index_report(df: DataFrame, ids: str = "ids", vec: str = "embeddings", dim: int = 64) -> DataFrame:
@@ -25,8 +29,20 @@ def clean_index(df: DataFrame, ids: str = "ids", vec: str = "embeddings", dim: i
     """(id, vec): usable rows, unit vectors in double precision; of an id's vectors the smallest."""
     finite = F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(F.col(ids).alias("id"), F.col(vec).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull())).where(finite)
-    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
-    return rows.where("len > 0").select("id", F.transform("v", lambda x: F.try_divide(x, F.col("len"))).alias("vec"))
+    return rows.groupBy("id").agg(F.min("v").alias("v")).mapInArrow(_unit, "id long, vec array<double>")
+
+
+def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of length above 0, divided by it (scaled by the largest value first, so nothing overflows)."""
+    for b in batches:
+        if b.num_rows:
+            v = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            most = np.abs(v).max(1, keepdims=True)
+            ok = most[:, 0] > 0
+            v = v[ok] / most[ok]
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            flat = pa.ListArray.from_arrays(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id").filter(pa.array(ok)), flat], names=["id", "vec"])
 
 
 def query_vectors(index: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -39,24 +55,43 @@ def query_vectors(index: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def cosine_rank(index: DataFrame, seeds: DataFrame, top: int | None = None) -> DataFrame:
-    """(trial, node, score, place): every non-seed vector by descending cosine (rounded to 9 decimals), ties by id.
+    """(trial, node, score, place): non-seed vectors by descending cosine (rounded to 9 decimals), ties by id.
 
-    The queries meet the index in blocks of QUERIES. While all of them are few (BROADCAST at most, 8 bytes a value) they
-    are broadcast and the index isn't shuffled; beyond that both sides are shuffled by block and a salt of the row.
+    Queries meet the index in blocks of about QUERIES, each sent to the tasks as one matrix (its size is checked by
+    counting), so the index is scanned once a block and never shuffled. With ``top`` a task keeps only what can still be
+    among the first ``top`` of a trial after its own seeds are taken out.
     """
+    spark = index.sparkSession
     q = query_vectors(index, seeds)
     n = q.count()
     blocks = max(1, -(-n // QUERIES))
-    held = q.groupBy(F.pmod(F.xxhash64("trial"), F.lit(blocks)).cast("int").alias("k")).agg(F.collect_list(F.struct("trial", "q")).alias("qs"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = index.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    if n <= BROADCAST:
-        met = rows.join(F.broadcast(held), "k")
-    else:
-        salted = held.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = rows.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["k", "s"])
-    scored = met.select("id", "vec", F.explode("qs").alias("t")).select(F.col("t.trial").alias("trial"), F.col("id").alias("node"), F.round(dot(F.col("vec"), F.col("t.q")), 9).alias("score"))
-    scored = scored.join(seeds.select("trial", "node").distinct(), ["trial", "node"], "left_anti")
+    most = seeds.groupBy("trial").agg(F.countDistinct("node").alias("n")).agg(F.max("n")).first()[0] or 0
+    keep = None if top is None else top + most
+    out = None
+    for k in range(blocks):
+        rows = q.where(F.pmod(F.xxhash64("trial"), F.lit(blocks)) == k).collect()  # about QUERIES rows
+        held = spark.sparkContext.broadcast((np.array([r["trial"] for r in rows], np.int64), np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)))
+        part = index.select("id", "vec").mapInArrow(_scores(held, keep), "trial long, node long, score double")
+        out = part if out is None else out.union(part)
+    scored = out.join(seeds.select("trial", "node").distinct(), ["trial", "node"], "left_anti")
     w = Window.partitionBy("trial").orderBy(F.desc("score"), "node")
-    out = scored.withColumn("place", F.row_number().over(w))
-    return out if top is None else out.where(F.col("place") <= top)
+    ranked = scored.withColumn("place", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("place") <= top)
+
+
+def _scores(held, keep: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trials, q = held.value
+        for b in batches:
+            if not b.num_rows or not len(trials):
+                continue
+            ids = b.column("id").to_numpy(zero_copy_only=False)
+            s = np.round(b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) @ q.T, 9)
+            t, i = np.meshgrid(np.arange(len(trials)), np.arange(len(ids)), indexing="ij")
+            t, i, v = t.ravel(), i.ravel(), s.T.ravel()
+            if keep is not None and keep < len(ids):
+                order = np.lexsort((ids[i], -v, t)).reshape(len(trials), len(ids))[:, :keep].ravel()
+                t, i, v = t[order], i[order], v[order]
+            yield pa.RecordBatch.from_arrays([pa.array(trials[t]), pa.array(ids[i]), pa.array(v)], names=["trial", "node", "score"])
+
+    return run
