@@ -13,8 +13,6 @@ source's blocks (disjoint ranges) and its documents are shuffled within the shar
 
 from __future__ import annotations
 
-import base64
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,25 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from closura.functions.tokens import VOCABULARY, encoder
 from closura.llm.leakage import spread
 from closura.plans.staging import Stage
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: The published split pattern of that vocabulary (a fixed value).
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCKS = 1024
 
 
-@functools.lru_cache(4)
-def encoder(path: str):
-    """The public byte-level BPE at ``path`` (tiktoken ranks)."""
-    import tiktoken
-
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def source_name(c: str) -> Column:
     """Sources are compared after removing surrounding blanks, lower-casing and replacing '-' by '_'."""
     return F.replace(F.lower(F.trim(F.col(c))), F.lit("-"), F.lit("_"))
