@@ -599,6 +599,20 @@ def _(s, d):
     return harness.sampled_seeds(Graph.load(s, d))
 
 
+@query(
+    "evidence_states",
+    """, n AS (SELECT strftime(max(loaded_at), '%Y-%m') AS now FROM edges)
+      SELECT CASE WHEN strftime(x.loaded_at, '%Y-%m') = n.now THEN 'current' WHEN x.src IN (SELECT id FROM s) AND x.dst IN (SELECT id FROM s) THEN 'historical_endpoints_intact' ELSE 'stale' END AS state, count(*) AS n_edges FROM edges x, n GROUP BY 1""",
+)
+def _(s, d):
+    e = table(s, d, "edges").select(F.date_format("loaded_at", "yyyy-MM").alias("revision"), "src", "dst")
+    now = e.agg(F.max("revision")).first()[0]
+    ids = Graph.load(s, d).symbols.select("id")
+    j = e.join(ids.select(F.col("id").alias("src"), F.lit(True).alias("a")), "src", "left").join(ids.select(F.col("id").alias("dst"), F.lit(True).alias("b")), "dst", "left")
+    state = T.evidence_state(F.col("revision"), F.lit(now), F.coalesce(F.col("a") & F.col("b"), F.lit(False)))
+    return j.select(state.alias("state")).groupBy("state").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
 # --- the store's query language ------------------------------------------------------------------------------------------
 def _cypher(name: str, text: str, sql: str) -> None:
     query(name, sql)(lambda s, d: cypher.run(text, Graph.load(s, d)))

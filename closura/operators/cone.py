@@ -110,3 +110,16 @@ def explain(provenance: DataFrame, asked: DataFrame, longest: int = 8) -> DataFr
         cur = hit.select("trial", "node", F.col("via").alias("at")).distinct().join(seen, ["trial", "node", "at"], "left_anti")
         seen = seen.union(cur)
     return out
+
+
+def render_explanation(name: str, found: dict) -> str:
+    """Text for one symbol; ``found`` has present, level, seed and chain (depth, name, edge, rule), or referenced_by."""
+    if not found["present"]:
+        by = found["referenced_by"]
+        return "\n".join([f"{name}  -- not in the compiled context.", *(["Named (not emitted) by:", *(f"  <- {x}" for x in by)] if by else ["Nothing in the context names it; give it as a seed to include it."])])
+    lines = [f"{name}  [L{found['level']}]"] + (["  a seed, not pulled in by a rule"] if found["seed"] else [])
+    lines += [f"  <- {via}  {edge}  (rule: {rule})" for _, via, edge, rule in found["chain"]]
+    packed = sum(edge.startswith("OPTIONAL:") for _, _, edge, _ in found["chain"])
+    if rules := len(found["chain"]) - packed:
+        lines.append(f"  rules that fired: {rules}")
+    return "\n".join(lines + ([f"  steps through optional packing: {packed}"] if packed else []))

@@ -95,3 +95,29 @@ def _scores(held, keep: int | None):
             yield pa.RecordBatch.from_arrays([pa.array(trials[t]), pa.array(ids[i]), pa.array(v)], names=["trial", "node", "score"])
 
     return run
+
+
+def build_index(texts: DataFrame, encode, dim: int) -> DataFrame:
+    """(ids, embeddings) of (id, text): ``encode`` maps a list of texts to an array of (n, dim), batch by batch in the tasks.
+
+    Rows are divided by their length. A blank or null text, a repeated id or a vector that is not finite or of length 0
+    fails the build, as an index must match its symbols one to one.
+    """
+    if texts.groupBy("id").count().where("count > 1 or id is null").limit(1).count():
+        raise ValueError("ids must be unique and not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("text").to_pylist()
+            if any(x is None or not x.strip() for x in held):
+                raise ValueError("a text is blank")
+            if not held:
+                continue
+            v = np.asarray(encode(held), np.float64).reshape(len(held), dim)
+            n = np.linalg.norm(v, axis=1, keepdims=True)
+            if not np.isfinite(v).all() or (n <= 0).any():
+                raise ValueError("a vector is not finite or of length 0")
+            flat = pa.array((v / n).ravel().astype(np.float32))
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(np.arange(0, v.size + 1, dim, dtype=np.int32), flat)], names=["ids", "embeddings"])
+
+    return texts.select("id", "text").mapInArrow(run, "ids long, embeddings array<float>")

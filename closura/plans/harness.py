@@ -90,3 +90,8 @@ def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     at = lambda q: F.element_at("v", (F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q))) + 1).cast("int"))
     g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"), F.count(value).alias("n"), F.min(value).alias("least"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.avg(value).alias("mean"), F.max(value).alias("most"))
     return g.select(*by, "n", "least", "median", "mean", at(0.9).alias("p90"), at(0.99).alias("p99"), "most")
+
+
+def within_tolerance(observed: dict[str, float], predicted: dict[str, float], low: float = 0.1, high: float = 10.0) -> dict[str, bool]:
+    """For each predicted statistic whether the observed one is between ``low`` and ``high`` times as large."""
+    return {k: k in observed and low * v <= observed[k] <= high * v for k, v in predicted.items()}

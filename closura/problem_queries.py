@@ -40,7 +40,7 @@ s AS (SELECT id, any_value(fqn) AS fqn, arg_min(parent_class, loaded_at) AS pc F
 k AS (SELECT id, fqn FROM s UNION SELECT id, fqn FROM stub_symbols),
 l AS (SELECT DISTINCT 'inherits' AS hier, src AS c, dst AS p FROM edges WHERE upper(trim(type)) = 'INHERITS_FROM' AND src IN (SELECT id FROM s) AND dst IN (SELECT id FROM k)
       UNION SELECT 'contains', s.id, k.id FROM s JOIN k ON k.fqn = regexp_replace(s.pc, '^\\s+|\\s+$', '', 'g')),
-w AS (SELECT hier, c, p, 1 AS d FROM l UNION SELECT w.hier, w.c, l.p, w.d + 1 FROM w JOIN l ON l.hier = w.hier AND l.c = w.p WHERE w.d < 40),
+w AS (SELECT hier, c, p, 1 AS d FROM l UNION SELECT w.hier, w.c, l.p, w.d + 1 FROM w JOIN l ON l.hier = w.hier AND l.c = w.p WHERE w.d < 300),
 b AS (SELECT hier, c, p, min(d) AS d FROM w GROUP BY ALL),
 y AS (SELECT x.hier, x.c, min(y.p) AS least FROM b x JOIN b y ON y.hier = x.hier AND y.c = x.c JOIN b z ON z.hier = x.hier AND z.c = y.p AND z.p = x.c WHERE x.c = x.p GROUP BY ALL)"""
 

@@ -1 +1 @@
-"""streaming of the closura engine."""
+"""Streaming: the engine's inputs are batch tables and it has no stream operator, so there is none here either."""

@@ -6,7 +6,8 @@ from helpers import RAW_EDGE, RAW_SYMBOL, graph, rows, seeds, sym
 from closura.api import Engine
 from closura.operators import cone, emission, extraction, retrieval
 from closura.operators import seeds as S
-from closura.plans import cypher
+from closura.plans import cypher, harness
+from closura.plans.config import Config
 from closura.sources import graph_io
 
 NAMES = ["django.db.query.QuerySet.filter", "django.contrib.query.QuerySet.filter", "django.db.query.QuerySet.build", "django.db.query", "pkg.Thing2", "pkg.OtherThing"]
@@ -194,3 +195,22 @@ def test_io(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/g/edges").where("type = 'CALLS'").count() == 1
     assert [len(c) for c in graph_io.chunks([{"a": "x" * n} for n in (1, 1, 50, 1)], 2, 40)] == [2, 1, 1]
     assert graph_io.same_ids(e.select("src"), e.select("src")) and not graph_io.same_ids(e.select("src"), e.select("dst"))
+
+
+def test_build_index_and_config(spark):
+    texts = spark.createDataFrame([(1, "ab"), (2, "abc")], "id long, text string")
+    got = {r["ids"]: list(r["embeddings"]) for r in retrieval.build_index(texts, lambda t: [[len(x), 0.0] for x in t], 2).collect()}
+    assert got == {1: [1.0, 0.0], 2: [1.0, 0.0]}
+    with pytest.raises(ValueError, match="unique"):
+        retrieval.build_index(texts.union(texts), lambda t: t, 2)
+    with pytest.raises(Exception, match="blank"):
+        retrieval.build_index(spark.createDataFrame([(1, " ")], "id long, text string"), lambda t: t, 2).collect()
+    with pytest.raises(ValueError, match="CLOSURA_ROOT.*positive"):
+        Config.from_env({"CLOSURA_BUDGET": "0"})
+    assert harness.within_tolerance({"median": 46, "p90": 2000}, {"median": 47, "p90": 83, "max": 1}) == {"median": True, "p90": False, "max": False}
+
+
+def test_render_explanation():
+    assert "not in the compiled" in cone.render_explanation("a", {"present": False, "referenced_by": ["b"]})
+    text = cone.render_explanation("a", {"present": True, "level": 2, "seed": False, "chain": [(1, "b", "CALLS", "CALLS(L3)->L2"), (1, "c", "OPTIONAL:static_caller", "packed(static_caller)->L2")]})
+    assert "  <- b  CALLS  (rule: CALLS(L3)->L2)" in text and "rules that fired: 1" in text and "optional packing: 1" in text
