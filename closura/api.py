@@ -87,7 +87,5 @@ class Engine:
         missing = sd.join(index.select(F.col("id").alias("node")), "node", "left_anti").count()
         if missing:
             raise S.SeedError(f"{missing} seed(s) have no vector")
-        ranked = retrieval.cosine_rank(index, sd).join(self.g.symbols.select(F.col("id").alias("node")), "node", "left_semi")
-        room = self.spark.createDataFrame([(0, budget)], "trial long, room long")
-        got = packing.admitted_rows(packing.admissions(self.g, sd.withColumn("level", F.lit(3)), ranked, room, greedy=False))
+        got = packing.in_rank_order(self.g, sd, retrieval.cosine_rank(index, sd), self.spark.createDataFrame([(0, budget)], "trial long, budget long"))
         return [r.asDict() for r in got.join(self.g.symbols.select(F.col("id").alias("node"), "fqn"), "node").orderBy("place").collect()]

@@ -355,23 +355,17 @@ def _(s, d):
     return emission.unresolved(_compiled(s, d))
 
 
-def _arm(s, d, pool: DataFrame, g: Graph, sd: DataFrame) -> DataFrame:
-    own = sd.select("trial", "node", F.lit(3).alias("level"))
-    return packing.admitted_rows(packing.admissions(g, own, pool, harness.budgets(sd).select("trial", F.col("budget").alias("room")), greedy=False))
-
-
 @query("arm_b_admission")
 def _(s, d):
     g, sd = _g(s, d)
     n = g.symbols.count()
-    return _arm(s, d, C.graph_ranking(g, sd).select("trial", "node", T.idf(n, "out_degree").alias("score"), "place"), g, sd)
+    return packing.in_rank_order(g, sd, C.graph_ranking(g, sd).select("trial", "node", T.idf(n, "out_degree").alias("score"), "place"), harness.budgets(sd))
 
 
 @query("arm_a_admission")
 def _(s, d):
     g, sd = _g(s, d)
-    ranked = retrieval.cosine_rank(retrieval.clean_index(table(s, d, "vector_index")), sd, top=500)
-    return _arm(s, d, ranked.join(g.symbols.select(F.col("id").alias("node")), "node", "left_semi"), g, sd)
+    return packing.in_rank_order(g, sd, retrieval.cosine_rank(retrieval.clean_index(table(s, d, "vector_index")), sd), harness.budgets(sd))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------

@@ -10,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closura.functions.text import BASE, PER_FILE, PER_SYMBOL
 from closura.operators.graph import Graph
+from closura.plans.staging import Stage
 
 _OUT = "trial long, floor long, spent long, room long, rounds int, evaluated int, admitted array<struct<node:long,cost:long,score:double,value:double>>"
 
@@ -152,3 +153,31 @@ def admissions(g: Graph, levels: DataFrame, pool: DataFrame, rooms: DataFrame, g
 def admitted_rows(packed: DataFrame) -> DataFrame:
     """(trial, place, node, cost, score, value) of ``admissions``."""
     return packed.select("trial", F.posexplode("admitted").alias("p", "a")).select("trial", (F.col("p") + 1).alias("place"), "a.node", "a.cost", "a.score", "a.value")
+
+
+def in_rank_order(g: Graph, seeds: DataFrame, ranked: DataFrame, budgets: DataFrame, piece: int = 500) -> DataFrame:
+    """(trial, place, node, cost, score, value): seeds at level 3, then ``ranked`` candidates in order, whatever fits.
+
+    ``ranked`` (trial, node, score, place) may be as long as the symbol table. It is taken in pieces: a round gets the
+    next ``piece`` candidates of each trial whose least possible price still fits the trial's room, so what can't be
+    admitted any more never reaches a task and the result is that of one pass over the whole ranking.
+    """
+    stage = Stage(ranked.sparkSession, "rank-order")
+    least = g.symbols.select(F.col("id").alias("node"), (F.col("l2") + F.col("prov") + PER_SYMBOL - F.col("ident")).alias("least"))
+    todo = stage.put(ranked.select("trial", "node", "score", "place").join(least, "node"))
+    levels = seeds.select("trial", "node", F.lit(3).alias("level")).distinct()
+    state = stage.put(budgets.select("trial", F.col("budget").cast("long").alias("budget"), F.col("budget").cast("long").alias("room"), F.lit(0).alias("last")))
+    out = None
+    while True:
+        open_ = todo.join(state, "trial").where((F.col("place") > F.col("last")) & (F.col("least") <= F.col("room")))
+        w = Window.partitionBy("trial").orderBy("place")
+        now = stage.put(open_.withColumn("r", F.row_number().over(w)).where(F.col("r") <= piece).select("trial", "node", "score", "place"))
+        if now.isEmpty():
+            return out if out is not None else admitted_rows(admissions(g, levels, now, budgets.select("trial", F.col("budget").alias("room")), greedy=False)).select("trial", "place", "node", "cost", "score", "value")
+        packed = stage.put(admissions(g, levels, now, state.select("trial", F.col("budget").alias("room")), greedy=False))
+        got = stage.put(admitted_rows(packed).drop("place").join(now.select("trial", "node", "place"), ["trial", "node"]).select("trial", "place", "node", "cost", "score", "value"))
+        out = got if out is None else out.union(got)
+        levels = levels.union(got.select("trial", "node", F.lit(2)))
+        ends = now.groupBy("trial").agg(F.max("place").alias("end"))
+        left = packed.select("trial", F.col("room").alias("left"))
+        state = stage.put(state.join(ends, "trial").join(left, "trial").select("trial", "budget", F.col("left").alias("room"), F.col("end").alias("last")))

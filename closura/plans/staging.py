@@ -6,6 +6,8 @@ and takes a fraction of the room that serialised rows take. Loops drop the table
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -26,19 +28,31 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone already
+        _delete(spark, path)
+
+
 class Stage:
-    """Tables of one operator run, under a folder of its own."""
+    """Tables of one operator run, under a folder of its own that is removed when the driver's Python ends.
+
+    Results may be read until then, as they are lazy.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
-        self.live: dict[int, str] = {}
+        atexit.register(_clean, spark, self.base)
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and give it back as a table without lineage."""
         path, self.n = f"{self.base}/{self.n}", self.n + 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.live[id(out)] = path
         out._staged = path
         return out
 
@@ -46,7 +60,5 @@ class Stage:
         """Remove a staged table that nothing reads any more."""
         path = getattr(df, "_staged", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
             df._staged = None

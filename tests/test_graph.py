@@ -6,7 +6,7 @@ from helpers import graph, levels_of, rows, seeds, sym
 from closura.functions import text as T
 from closura.operators import candidates as C
 from closura.operators.graph import HARD, Graph
-from closura.operators.packing import Ledger, admissions, admitted_rows, pack, take_in_order
+from closura.operators.packing import Ledger, admissions, admitted_rows, in_rank_order, pack, take_in_order
 from closura.plans import harness
 
 
@@ -187,3 +187,14 @@ def test_functions(spark):
     r = df.select(T.module_name("f"), T.clean_path("p"), T.leaf("n"), T.last_two("n"), T.owner("n"), T.words("t"), T.name_id("n")).first()
     assert list(r[:6]) == ["pkg.sub", "github/x.py", "c", "b.c", "a.b", ["x", "foo", "foo_bar", "9"]]
     assert 0 <= r[6] < 2**63
+
+
+def test_rank_order_in_pieces(spark):
+    syms = [sym(1)] + [sym(i, l2=(40, 5, 200, 12)[i % 4], refs2=[i + 1], file=f"f{i % 3}") for i in range(2, 30)]
+    g = graph(spark, "", syms)
+    ranked = spark.createDataFrame([(0, i, float(100 - i), i) for i in range(2, 30)], "trial long, node long, score double, place int")
+    for budget in (200, 700, 1500):
+        b = spark.createDataFrame([(0, budget)], "trial long, budget long")
+        once = admitted_rows(admissions(g, seeds(spark, 1).selectExpr("trial", "node", "3 as level"), ranked, b.selectExpr("trial", "budget as room"), greedy=False))
+        got = in_rank_order(g, seeds(spark, 1), ranked, b, piece=5)
+        assert rows(got, "node", "cost") == rows(once, "node", "cost")
