@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys tracked by the heavy-hitter sketch. Its error is below rows / TRACKED * 3.5, so every key above SHARE is found.
+#: Keys tracked by the heavy-hitter sketch; its counts are off by at most about rows / TRACKED * 3.5.
 TRACKED, SHARE = 8192, 0.01
 
 
 def heavy_values(df: DataFrame, key: str, share: float = SHARE) -> list:
     """Values of ``key`` that may hold ``share`` of the rows or more; at most 2 / share of them reach the driver.
 
-    One mergeable sketch of fixed size per task, whatever the number of keys. The sketch may name a few keys too many
-    (harmless: they are only salted), never one too few. Nulls are no keys; an empty table has no heavy keys.
+    One mergeable sketch of fixed size per task, whatever the number of keys. A key within the sketch's error of the
+    threshold may be named or not: heavy keys are only salted, so that changes no result. Nulls are no keys; an empty
+    table has no heavy keys.
     """
     row = df.agg(F.count(key).alias("n"), F.expr(f"approx_top_k({key}, {int(2 / share)}, {TRACKED})").alias("top")).first()
     return [x["item"] for x in row["top"] or [] if x["count"] >= share * row["n"] and x["count"] > 1000]
