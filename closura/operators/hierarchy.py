@@ -12,6 +12,7 @@ forest (each node's smallest parent, cycles cut at their smallest node) and the
    depth and root of every node. v lies below u exactly if the interval of v is inside that of u.
 4. Cross links are folded in on a graph that has only their ends as nodes: shortest distances to roots by a semi-naive
    fixpoint, cycles as strongly connected components (trimming, then forward-backward colouring).
+5. All symbols below a symbol, and whole paths, are made of pieces of the forest in the same way.
 
 All tables carry ``h``, so several hierarchies go through the same rounds.
 """
@@ -19,6 +20,7 @@ All tables carry ``h``, so several hierarchies go through the same rounds.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,7 +69,6 @@ class Hierarchy:
             self.forest = self.stage.put(primary.join(reps, ["h", "child"], "left_anti"))
             cross = cross.union(primary.join(reps, ["h", "child"], "left_semi").select("h", "child", "parent"))
         self.cross = self.stage.put(cross)
-        self.nodes = self._number()
 
     # 1. peeling
     def _cycles(self, primary: DataFrame) -> DataFrame | None:
@@ -122,7 +123,8 @@ class Hierarchy:
         return linked.union(enter).union(ends), leaves
 
     # 3. list ranking
-    def _number(self) -> DataFrame:
+    @cached_property
+    def nodes(self) -> DataFrame:
         """(h, id, root, depth, hi, lo): u is below v, or v itself, exactly if both have one root and lo(v) < hi(u) <= hi(v)."""
         elements, leaves = self._tours()
         a = self.stage.put(elements.withColumn("root", F.when(F.col("nnode").isNull(), F.col("node"))))
@@ -188,6 +190,63 @@ class Hierarchy:
         far = via.join(best, ["h", "a"]).select("h", "id", "root", F.when(F.col("dist") < 0, F.lit(-1)).otherwise(F.col("dist") + F.col("w")).alias("depth"))
         return own.union(far).groupBy("h", "id", "root").agg(F.min("depth").cast("int").alias("depth"))
 
+    # 5. whole ways up
+    def _segments(self) -> DataFrame:
+        """(h, id, near, seg): the ids from ``id`` up the forest to the nearest node with cross links, or (near null) to the root."""
+        marked = self.cross.select("h", F.col("child").alias("id")).distinct().withColumn("m", F.lit(True))
+        ids = self.links.select("h", F.explode(F.array("child", "parent")).alias("id")).distinct()
+        up = ids.join(self.forest.select("h", F.col("child").alias("id"), "parent"), ["h", "id"], "left").join(marked, ["h", "id"], "left")
+        a = self.stage.put(up.select("h", "id", F.when(F.col("m").isNull(), F.col("parent")).alias("to"), F.when(F.col("m"), F.col("id")).alias("near"), F.array("id").alias("seg")))
+        while not (live := a.where("to is not null")).isEmpty():
+            at = a.select("h", F.col("id").alias("to"), F.col("to").alias("t2"), F.col("near").alias("n2"), F.col("seg").alias("s2"))
+            jumped = live.join(at, ["h", "to"]).select("h", "id", F.col("t2").alias("to"), F.col("n2").alias("near"), F.concat("seg", "s2").alias("seg"))
+            before, a = a, self.stage.put(a.where("to is null").union(jumped))
+            self.stage.drop(before)
+        return a.select("h", "id", "near", "seg")
+
+    def above(self, roots: bool = False) -> DataFrame:
+        """(h, id, top, dist, path): the smallest number of links from every node to every node above it, by all links.
+
+        A node on a cycle is above itself. With ``roots``, only tops without parents and the smallest node of each cycle,
+        and ``path`` has the ids from id to top on the first of the shortest ways by the order of ids; else it is empty.
+        Pieces of the forest between nodes with cross links are put together by a semi-naive fixpoint over these nodes.
+        """
+        seg = self._segments()
+        marked = self.cross.select("h", F.col("child").alias("a")).distinct()
+        steps = self.stage.put(self.links.select("h", F.col("child").alias("a"), F.col("parent").alias("id")).join(marked, ["h", "a"], "left_semi").join(seg, ["h", "id"]))
+        n = F.size("seg")
+        if roots:
+            tops = self.links.select("h", F.col("parent").alias("top")).join(self.links.select("h", F.col("child").alias("top")), ["h", "top"], "left_anti")
+            hops = self.stage.put(steps.where("near is not null").select("h", "a", F.col("near").alias("to"), n.cast("long").alias("w"), F.array_min("seg").alias("least")))
+            tops = self.stage.put(tops.union(self._cycle_marks(hops).select("h", F.col("root").alias("top"))).distinct())
+            keep = lambda df: df.join(tops, ["h", "top"], "left_semi")
+            ids = lambda *parts: F.concat(*parts)
+        else:
+            keep = lambda df: df
+            ids = lambda *_: F.array().cast("array<bigint>")
+        best_of = lambda df, *by: df.groupBy("h", *by).agg(F.min(F.struct("dist", "path")).alias("v")).select("h", *by, "v.dist", "v.path")
+        own = seg.select("h", "id", F.posexplode("seg").alias("dist", "top")).where("dist > 0")
+        own = keep(own).join(seg.select("h", "id", "seg"), ["h", "id"]) if roots else own.withColumn("seg", F.array().cast("array<bigint>"))
+        own = own.select("h", "id", "top", "dist", ids(F.slice("seg", F.lit(1), F.col("dist") + 1)).alias("path"))
+        if self.cross.isEmpty():
+            return own
+        first = keep(steps.select("h", "a", "id", F.posexplode("seg").alias("dist", "top")))
+        first = first.join(steps.select("h", "a", "id", "seg"), ["h", "a", "id"]) if roots else first.withColumn("seg", F.array().cast("array<bigint>"))
+        first = first.select("h", "a", "top", (F.col("dist") + 1).alias("dist"), ids(F.array("a"), F.slice("seg", F.lit(1), F.col("dist") + 1)).alias("path"))
+        back = steps.where("near is not null").select("h", "a", F.col("near").alias("to"), n.alias("dist"), ids(F.array("a"), F.slice("seg", F.lit(1), n - 1)).alias("path"))
+        back = self.stage.put(best_of(back, "a", "to").select("h", "a", "to", F.col("dist").alias("w"), F.col("path").alias("way")))
+        best = delta = self.stage.put(best_of(first, "a", "top"))
+        while True:
+            more = best_of(delta.withColumnRenamed("a", "to").join(back, ["h", "to"]).select("h", "a", "top", (F.col("dist") + F.col("w")).alias("dist"), ids("way", "path").alias("path")), "a", "top")
+            had = best.select("h", "a", "top", F.struct("dist", "path").alias("had"))
+            delta = self.stage.put(more.join(had, ["h", "a", "top"], "left").where(F.col("had").isNull() | (F.struct("dist", "path") < F.col("had"))).select("h", "a", "top", "dist", "path"))
+            if delta.isEmpty():
+                break
+            best = self.stage.put(best_of(best.union(delta), "a", "top"))
+        via = seg.where("near is not null").select("h", F.col("near").alias("a"), "id", (n - 1).alias("w"), ids(F.slice("seg", F.lit(1), n - 1)).alias("way"))
+        far = via.join(best, ["h", "a"]).select("h", "id", "top", (F.col("dist") + F.col("w")).alias("dist"), ids("way", "path").alias("path"))
+        return best_of(own.union(far), "id", "top")
+
     def _cycle_marks(self, hops: DataFrame) -> DataFrame:
         """(h, a, root, dist -1): the smallest id on the cycles (strongly connected components) that a lies on."""
         core, n, out = hops.select("h", "a", "to").distinct(), None, None
@@ -235,11 +294,19 @@ def hierarchy_roots(spark: SparkSession, root: str) -> DataFrame:
     return Hierarchy(symbol_links(spark, root)).reach().select(_hier(), "id", F.col("root").alias("root_id"), "depth")
 
 
-def hierarchy_intervals(spark: SparkSession, root: str) -> DataFrame:
-    """(hier, id, root_id, depth, n_below, hi, lo) of the forest: the descendants of id are the nodes with the same root
-    and lo < hi' < hi; their number is n_below, so they are kept in two numbers a node instead of one row a pair."""
-    t = Hierarchy(symbol_links(spark, root)).nodes
-    return t.select(_hier(), "id", F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), (F.col("hi") - F.col("lo") - 1).alias("n_below"), "hi", "lo")
+def hierarchy_below(spark: SparkSession, root: str) -> DataFrame:
+    """(hier, id, below_id, depth, cycle_id): every symbol and every symbol below it, over all links.
+
+    ``depth`` is the smallest number of links between the two; ``cycle_id`` the smallest id of the cycle that id is on, else
+    null. A symbol on a cycle is below itself. Symbols with nothing below have no row.
+    """
+    h = Hierarchy(symbol_links(spark, root))
+    pairs = h.stage.put(h.above().drop("path"))
+    on = pairs.where("id = top").select("h", "id")
+    ring = pairs.select("h", "id", "top").join(on, ["h", "id"], "left_semi").join(on.select("h", F.col("id").alias("top")), ["h", "top"], "left_semi")
+    both = ring.join(ring.select("h", F.col("id").alias("top"), F.col("top").alias("id")), ["h", "id", "top"], "left_semi")
+    cycle = both.groupBy("h", F.col("id").alias("top")).agg(F.min("top").alias("cycle_id"))
+    return pairs.join(cycle, ["h", "top"], "left").select(_hier(), F.col("top").alias("id"), F.col("id").alias("below_id"), F.col("dist").alias("depth"), "cycle_id")
 
 
 def hierarchy_paths(spark: SparkSession, root: str) -> DataFrame:

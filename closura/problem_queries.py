@@ -9,7 +9,7 @@ from closura.sources.tables import table
 
 QUERIES = {
     "p2_found": lambda s, d: hierarchy.hierarchy_roots(s, d),
-    "p2_below": lambda s, d: hierarchy.hierarchy_intervals(s, d).select("hier", "id", "root_id", "depth", "n_below"),
+    "p2_below": lambda s, d: hierarchy.hierarchy_below(s, d),
     "p2_paths": lambda s, d: hierarchy.hierarchy_paths(s, d),
     "p3_found": lambda s, d: integrity.orphan_references(s, d),
     "p3_report": lambda s, d: integrity.orphan_report(s, d),

@@ -71,3 +71,31 @@ def test_deep_chain_and_wide_parent(spark, monkeypatch):
 
 def test_empty(spark):
     assert solve(spark, []).reach().count() == 0
+
+
+def brute_below(links):
+    """{(h, top, below, depth)}: breadth-first search from every node, a node on a cycle found again by its own links."""
+    out, up = set(), {}
+    for c, p in links:
+        up.setdefault(c, set()).add(p)
+    for v in up:
+        dist, front, d = {}, set(up[v]), 1
+        while front:
+            dist |= dict.fromkeys(front, d)
+            front, d = {p for x in front for p in up.get(x, ())} - set(dist), d + 1
+        out |= {(a, v, n) for a, n in dist.items()}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_below_by_all_links(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    links = {(v, rng.randrange(v)) for v in range(5, 40)} | {(rng.randrange(40), rng.randrange(40)) for _ in range((6, 14, 0)[seed])} | {(40, 40), (41, 40), (42, 43), (43, 42), (44, 43), (44, 7)}
+    df = spark.createDataFrame([(0, c, p) for c, p in links], "h int, child long, parent long")
+    monkeypatch.setattr(hierarchy, "symbol_links", lambda *_: df)
+    got = hierarchy.hierarchy_below(spark, "").collect()
+    want = brute_below(links)
+    assert sorted((r["id"], r["below_id"], r["depth"]) for r in got) == sorted(want)
+    pairs = {(a, b) for a, b, _ in want}
+    least = {a: min(b for x, b in pairs if x == a and (b, a) in pairs) for a, b in pairs if a == b}
+    assert {(r["id"], r["cycle_id"]) for r in got} == {(a, least.get(a)) for a, _ in pairs}
