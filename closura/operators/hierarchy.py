@@ -310,17 +310,15 @@ def hierarchy_below(spark: SparkSession, root: str) -> DataFrame:
 
 
 def hierarchy_paths(spark: SparkSession, root: str) -> DataFrame:
-    """(hier, id, path): the ids from the root of the node's tree down to the node, joined by '/'.
+    """(hier, id, root_id, depth, path): a path for every row of ``hierarchy_roots``, and one of depth 0 for each root.
 
-    Paths are put together by doubling: each round joins a node's upward piece to the piece of the node it ends at, so a
-    path of n links takes log2 n joins.
+    ``path`` has the ids from root_id down to id, joined by '/'. It is a shortest one; of several, the one whose ids, read
+    upwards, come first. A cycle (depth -1) has the shortest path from its smallest node; for that node itself, once around.
     """
     h = Hierarchy(symbol_links(spark, root))
-    up = h.nodes.select("h", "id").join(h.forest.select("h", F.col("child").alias("id"), "parent"), ["h", "id"], "left")
-    a = h.stage.put(up.select("h", "id", F.col("parent").alias("to"), F.col("id").cast("string").alias("path")))
-    while not (live := a.where("to is not null")).isEmpty():
-        at = a.select("h", F.col("id").alias("to"), F.col("to").alias("t2"), F.col("path").alias("p2"))
-        jumped = live.join(at, ["h", "to"]).select("h", "id", F.col("t2").alias("to"), F.concat_ws("/", "p2", "path").alias("path"))
-        before, a = a, h.stage.put(a.where("to is null").union(jumped))
-        h.stage.drop(before)
-    return a.select(_hier(), "id", "path")
+    up = h.stage.put(h.above(roots=True))
+    parents, children = h.links.select("h", F.col("parent").alias("top")).distinct(), h.links.select("h", F.col("child").alias("top")).distinct()
+    tops = parents.join(children, ["h", "top"], "left_anti")
+    below = up.join(children.withColumn("ring", F.lit(True)), ["h", "top"], "left").select("h", "id", "top", F.when(F.col("ring"), -1).otherwise(F.col("dist")).alias("depth"), "path")
+    rows = below.union(tops.select("h", F.col("top").alias("id"), "top", F.lit(0).alias("depth"), F.array("top").alias("path")))
+    return rows.select(_hier(), "id", F.col("top").alias("root_id"), "depth", F.concat_ws("/", F.reverse("path").cast("array<string>")).alias("path"))

@@ -99,3 +99,19 @@ def test_below_by_all_links(spark, monkeypatch, seed):
     pairs = {(a, b) for a, b, _ in want}
     least = {a: min(b for x, b in pairs if x == a and (b, a) in pairs) for a, b in pairs if a == b}
     assert {(r["id"], r["cycle_id"]) for r in got} == {(a, least.get(a)) for a, _ in pairs}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_shortest_path_to_every_root(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    links = {(v, rng.randrange(v)) for v in range(5, 30)} | {(rng.randrange(30), rng.randrange(30)) for _ in range((6, 12)[seed])} | {(40, 40), (41, 40), (42, 43), (43, 42), (44, 43), (44, 7)}
+    df = spark.createDataFrame([(0, c, p) for c, p in links], "h int, child long, parent long")
+    monkeypatch.setattr(hierarchy, "symbol_links", lambda *_: df)
+    got = hierarchy.hierarchy_paths(spark, "").collect()
+    roots = {p for _, p in links} - {c for c, _ in links}
+    assert sorted((r["id"], r["root_id"], r["depth"]) for r in got) == sorted(brute(links) | {(v, v, 0) for v in roots})
+    least = {(a, b): d for a, b, d in brute_below(links)}
+    for r in got:
+        path = [int(x) for x in r["path"].split("/")]
+        assert path[0] == r["root_id"] and path[-1] == r["id"] and all((c, p) in links for p, c in zip(path, path[1:]))
+        assert len(path) - 1 == (0 if r["depth"] == 0 else least[r["root_id"], r["id"]])
