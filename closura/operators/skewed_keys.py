@@ -49,6 +49,24 @@ def key_profile(edges: DataFrame, share: float = 0.02) -> DataFrame:
     return out.withColumn("heavy", F.col("n_rows") >= F.lit(share) * F.lit(total))
 
 
+def key_profile_all(edges: DataFrame, share: float = 0.02) -> DataFrame:
+    """(field, key, n_rows, n_src, n_dst, heavy) for all keys of edges.dst, edges.src and edges.type, as strings.
+
+    ``n_src`` and ``n_dst`` are the distinct non-null ends of the key's rows; null for the field that is the key itself.
+    As in ``key_profile``, (key, end) pairs are made distinct first, so a type that holds most rows is spread over all
+    tasks by its ends. Each key's rows are counted by the pairs of one side only.
+    """
+    total = edges.count()
+    e = edges.select("src", "dst", edge_type().alias("type"))
+    pair = lambda f, side: F.struct(F.lit(f"edges.{f}").alias("field"), F.col(f).cast("string").alias("key"), F.lit(side).alias("side"), F.col(side).alias("nb"))
+    pairs = e.select(F.explode(F.array(pair("src", "dst"), pair("dst", "src"), pair("type", "src"), pair("type", "dst"))).alias("k")).select("k.*").where("key is not null")
+    pairs = pairs.groupBy("field", "key", "side", "nb").agg(F.count(F.lit(1)).alias("n"))
+    counted = F.when((F.col("field") != "edges.type") | (F.col("side") == "src"), F.col("n"))
+    ends = lambda f: F.when(F.col("field") != f"edges.{f}", F.count(F.when(F.col("side") == f, F.col("nb")))).alias(f"n_{f}")
+    out = pairs.groupBy("field", "key").agg(F.sum(counted).alias("n_rows"), ends("src"), ends("dst"))
+    return out.withColumn("heavy", F.col("n_rows") >= F.lit(share) * F.lit(total))
+
+
 def eager_join_counts(left: DataFrame, right: DataFrame, on: str, left_by: str, right_by: str) -> DataFrame:
     """Rows of ``left`` joined with ``right`` on ``on``, counted per (left_by, right_by), without making the joined rows.
 

@@ -16,6 +16,7 @@ QUERIES = {
     "p3_cascade": lambda s, d: integrity.orphan_cascade(s, d),
     "p5_found": lambda s, d: skewed_keys.heavy_keys(table(s, d, "edges")).select("field", "key"),
     "p5_profile": lambda s, d: skewed_keys.key_profile(table(s, d, "edges")),
+    "p5_profile_all": lambda s, d: skewed_keys.key_profile_all(table(s, d, "edges")),
     "p5_two_hop_types": lambda s, d: skewed_keys.two_hop_types(table(s, d, "edges")),
 }
 

@@ -50,6 +50,16 @@ def test_heavy_keys_and_profile(spark):
     assert skewed_keys.heavy_keys(e.limit(0)).count() == 0
 
 
+def test_profile_of_all_fields(spark):
+    e = [(" calls", 1, 2, 1, None, None), ("CALLS", 1, 2, 1, None, None), ("CALLS", 1, 3, 1, None, None), ("calls", 4, None, 1, None, None), ("X", None, 3, 1, None, None), (None, 4, 2, 1, None, None)]
+    got = rows(skewed_keys.key_profile_all(spark.createDataFrame(e, RAW_EDGE), 0.5), "field", "key", "n_rows", "n_src", "n_dst", "heavy")
+    want = [
+        ("edges.dst", "2", 3, 2, None, True), ("edges.dst", "3", 2, 1, None, False), ("edges.src", "1", 3, None, 2, True), ("edges.src", "4", 2, None, 1, False),
+        ("edges.type", "CALLS", 4, 2, 2, True), ("edges.type", "X", 1, 0, 1, False),
+    ]
+    assert got == want
+
+
 def test_eager_join_counts(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (None, "x")], "k int, l string")
     b = spark.createDataFrame([(1, "u"), (1, "v"), (1, "v"), (None, "u")], "k int, r string")
