@@ -23,6 +23,16 @@ def trial_seeds(g: Graph, trials: int = TRIALS, size: int = SEEDS) -> DataFrame:
     return dealt.withColumn("r", F.row_number().over(w)).where(F.col("r") <= size).select("trial", "node")
 
 
+def all_seeds(g: Graph, trials: int = TRIALS, size: int = SEEDS) -> DataFrame:
+    """(trial, node): every eligible symbol, in trials of up to ``size``; those below ``trials`` are ``trial_seeds``.
+
+    The ids that ``trial_seeds`` leaves out fill further trials of the same remainder, so their number grows with the table.
+    """
+    w = Window.partitionBy("rest").orderBy("node")
+    dealt = g.eligible().select(F.pmod("id", F.lit(trials)).alias("rest"), F.col("id").alias("node")).withColumn("r", F.row_number().over(w))
+    return dealt.select((F.col("rest") + F.floor((F.col("r") - 1) / size) * trials).alias("trial"), "node")
+
+
 def sampled_seeds(g: Graph, trials: int = 200, size: int = SEEDS, rng_seed: int = 20260817) -> DataFrame:
     """(trial, place, node): the seeded sample of the evaluation protocol, from the eligible ids in ascending order.
 

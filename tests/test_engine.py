@@ -214,3 +214,11 @@ def test_render_explanation():
     assert "not in the compiled" in cone.render_explanation("a", {"present": False, "referenced_by": ["b"]})
     text = cone.render_explanation("a", {"present": True, "level": 2, "seed": False, "chain": [(1, "b", "CALLS", "CALLS(L3)->L2"), (1, "c", "OPTIONAL:static_caller", "packed(static_caller)->L2")]})
     assert "  <- b  CALLS  (rule: CALLS(L3)->L2)" in text and "rules that fired: 1" in text and "optional packing: 1" in text
+
+
+def test_all_eligible_symbols_are_dealt(spark):
+    g = graph(spark, "0-CALLS->1", [sym(i, l3=150) for i in range(0, 2000, 100)] + [sym(i, l3=150) for i in range(1, 9)] + [sym(9, l3=10)])
+    got = {(r["trial"], r["node"]) for r in harness.all_seeds(g).collect()}
+    assert {n for _, n in got} == set(range(0, 2000, 100)) | set(range(1, 9))
+    assert {t for t, _ in got} == {0, 100, 200, 300} | set(range(1, 9))
+    assert {x for x in got if x[0] < 100} == {(r["trial"], r["node"]) for r in harness.trial_seeds(g).collect()}
