@@ -6,6 +6,8 @@ queries with seeds start from at most 600 symbols, whatever the table's size. ``
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,9 @@ c2 AS (SELECT DISTINCT c1.root, src AS node FROM c1 JOIN k1 ON k1.root = c1.root
 cn AS (SELECT root, node, 1 AS depth FROM c1 UNION ALL SELECT root, node, 2 FROM c2)
 """
 
+_ALL = "SELECT id % 100 + 100 * ((row_number() OVER (PARTITION BY id % 100 ORDER BY id) - 1) // 6) AS trial, id AS node FROM el"
+_PRELUDE_ALL = re.sub(r"\nsd AS \(.*\),\n", f"\nsd AS ({_ALL}),\n", _PRELUDE)
+
 
 def query(name: str, sql: str | None = None, prelude: bool = True):
     def keep(f):
@@ -134,7 +139,7 @@ def _(s, d):
     return _g(s, d)[1]
 
 
-@query("trial_seeds_all", "SELECT id % 100 + 100 * ((row_number() OVER (PARTITION BY id % 100 ORDER BY id) - 1) // 6) AS trial, id AS node FROM el")
+@query("trial_seeds_all", _ALL)
 def _(s, d):
     return harness.all_seeds(Graph.load(s, d))
 
@@ -163,6 +168,12 @@ def _(s, d):
     return g.closure(sd)
 
 
+@query("closure_profile_matrix_all", _PRELUDE_ALL + "SELECT trial, profile, node, level FROM lv", prelude=False)
+def _(s, d):
+    g = Graph.load(s, d)
+    return g.closure(harness.all_seeds(g))
+
+
 for _p in PROFILES:
 
     @query(f"closure_{_p.name.lower()}", f"SELECT trial, node, level FROM lv WHERE profile = '{_p.name}'")

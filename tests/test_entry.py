@@ -45,3 +45,8 @@ def test_query_equals_sql(spark, db, name):
 def test_registry_and_smoke(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["trial_seeds_all", "closure_profile_matrix_all"])
+def test_all_seeds_equal_sql(spark, db, name):
+    assert _rows(entry.queries()[name](spark, DATA).toPandas()) == _rows(db.execute(entry.oracle_sql()[name]).df())
