@@ -5,10 +5,15 @@ Jaccard similarity of ``t`` or more means at most k differing shingles. The shin
 cells. If k < n1 * (k2 + 1), some group has at most k2 differing cells, so two similar sets agree on n2 - k2 whole cells
 of a group: one signature for every group and choice of cells finds them.
 
-A signature is sent only if its cells hold a shingle that is rare in the collection (by a count sketch of fixed size over
-all texts), which bounds the group that meets in one signature. That could lose a pair only if both of its sets have too
-few groups with rare shingles in enough cells; this is checked for each set and band, and sets that fail it also send
-their prefix elements (rarest first), which finds all similar pairs among them. So no pair is lost.
+Before that, sets that can't have a partner are set aside: a shingle that occurs in one set only can't be shared, and a
+set that is left with fewer than ``t`` of its shingles has no similar set. A bitmap of fixed size tells such shingles
+from the others; ROUNDS passes, each over what the one before left, as every set that goes makes more shingles lonely.
+
+A signature is sent only if its cells hold a shingle that at most RARE sets have (by a count sketch of fixed size over all
+sets left), so at most RARE sets meet in one signature, whatever the size of the collection. That could lose a pair only
+if both of its sets have too few groups with rare shingles in enough cells; this is checked for each set and band, and
+sets that fail it also send their prefix elements (rarest first), which finds all similar pairs among them. So no pair is
+lost.
 """
 
 from __future__ import annotations
@@ -27,12 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from closura.llm.gather import summed
+from closura.llm.gather import Twice, summed
 from closura.plans.staging import Stage
 
 WORD = re.compile(r"[A-Za-z0-9_]+")
-#: Cells of the count sketch, and the share of all texts from which a shingle isn't rare.
-SKETCH, COMMON = 1 << 20, 1e-3
+#: Cells of the count sketch, the most sets that a rare shingle is in, and the passes that set aside sets without partners.
+SKETCH, RARE, ROUNDS = 1 << 20, 64, 2
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -71,6 +76,10 @@ def _sets(words: int, least: int):
     return run
 
 
+def _joined(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column("s").to_pylist()), np.uint64)
+
+
 class Scheme:
     """Bands and the (n1, n2, k2) of each, for a similarity threshold."""
 
@@ -106,8 +115,12 @@ class Scheme:
         return floor((n + min(self.bands[i][1], floor(n / self.t))) * self.gap)
 
 
-def _signatures(t: float, common: np.ndarray):
-    """common: packed bits over the sketch's cells, set for shingles that aren't rare."""
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
+
+
+def _signatures(t: float, counts):
+    """counts: broadcast array of the sketch's cells."""
 
     def one(scheme: Scheme, i: int, cids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, h: np.ndarray, rare: np.ndarray):
         n1, n2, k2 = scheme.shape(i)
@@ -129,7 +142,7 @@ def _signatures(t: float, common: np.ndarray):
         return np.concatenate(out), np.concatenate(who), weak
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scheme, bits = Scheme(t), np.unpackbits(common)
+        scheme, count = Scheme(t), counts.value
         for b in batches:
             for p in range(0, b.num_rows, 512):
                 part = b.slice(p, 512)
@@ -141,13 +154,13 @@ def _signatures(t: float, common: np.ndarray):
                 for i in np.unique(np.r_[own, own + 1]).tolist():
                     here = np.flatnonzero((own == i) | (own == i - 1))
                     h = np.concatenate([sets[x] for x in here])
-                    rare = bits[(h & np.uint64(SKETCH - 1)).astype(np.int64)] == 0
+                    rare = count[_cells(h)] <= RARE
                     sig, who, weak = one(scheme, i, cid[here], n[here], np.repeat(np.arange(len(here)), n[here]), h, rare)
                     weak_at[here] |= weak
                     yield _rows(sig, cid[here][who], n[here][who])
                 for x in np.flatnonzero(weak_at).tolist():
                     s = sets[x]
-                    order = np.lexsort((s, bits[(s & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                    order = np.lexsort((s, count[_cells(s)]))
                     head = s[order[: len(s) - ceil(scheme.t * len(s)) + 1]]
                     yield _rows(_mix(head + np.uint64(3)), np.full(len(head), cid[x]), np.full(len(head), n[x]))
 
@@ -184,17 +197,18 @@ class NearDuplicates:
         first = sets.groupBy("key").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("copies"))
         named = sets.select("id", "key").join(first, "key")
         self.members = stage.put(named.select("cid", "id", "copies"))
-        one = sets.join(self.members.where("cid = id").select("id"), "id", "left_semi").select(F.col("id").alias("cid"), "n", "s")
-        classes = self.members.where("cid = id").count()
+        one = stage.put(sets.join(self.members.where("cid = id").select("id"), "id", "left_semi").select(F.col("id").alias("cid"), "n", "s"))
+        limit = Fraction(t).limit_denominator(1000)
+        for _ in range(ROUNDS):
+            before, one = one, stage.put(self._with_partners(one, limit))
+            stage.drop(before)
 
         def count(b: pa.RecordBatch, total: np.ndarray) -> None:
             for p in range(0, b.num_rows, 512):
-                h = np.frombuffer(b"".join(b.column("s").slice(p, 512).to_pylist()), np.uint64)
-                total += np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint32)
+                total += np.bincount(_cells(_joined(b.slice(p, 512))), minlength=SKETCH).astype(np.uint32)
 
-        common = np.packbits(summed(one, count, SKETCH, "u4") >= max(8, COMMON * classes))
-        sigs = one.select("cid", "n", "s").mapInArrow(_signatures(t, common), "sig long, cid long, n int")
-        limit = Fraction(t).limit_denominator(1000)
+        counts = spark.sparkContext.broadcast(summed(one, count, SKETCH, "u4"))  # 4 MB, whatever the collection
+        sigs = one.select("cid", "n", "s").mapInArrow(_signatures(t, counts), "sig long, cid long, n int")
         x, y = sigs.select("sig", F.col("cid").alias("a"), F.col("n").alias("na")), sigs.select("sig", F.col("cid").alias("b"), F.col("n").alias("nb"))
         near = (F.col("na") * limit.denominator >= F.col("nb") * limit.numerator) & (F.col("nb") * limit.denominator >= F.col("na") * limit.numerator)
         pairs = x.join(y, "sig").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
@@ -202,6 +216,20 @@ class NearDuplicates:
         self.links = stage.put(both.select("a", "b", "sa", "sb").mapInArrow(_verify(limit), "a long, b long, sim double"))
         self.stage = stage
 
+    @staticmethod
+    def _with_partners(one: DataFrame, t: Fraction) -> DataFrame:
+        """Rows of ``one`` of whose shingles at least ``t`` may occur in another row as well."""
+        twice = Twice(one.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0).fit(one.select("s"), _joined)
+        held = one.sparkSession.sparkContext.broadcast(twice)  # at most 16 MB
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                n = b.column("n").to_numpy(zero_copy_only=False)
+                shared = np.add.reduceat(held.value.seen(_joined(b)), np.r_[0, np.cumsum(n)[:-1]], dtype=np.int64) if b.num_rows else n
+                yield b.filter(pa.array(shared * t.denominator >= n.astype(np.int64) * t.numerator))
+
+        return one.mapInArrow(run, one.schema)
+
     def pairs(self) -> DataFrame:
         """(id_a, id_b, sim), id_a < id_b: every similar pair of ids, copies included (as the problem's cases ask)."""
         m = self.members

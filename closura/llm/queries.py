@@ -49,7 +49,16 @@ i AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FR
 x AS (SELECT id, array_to_string(t[n:n + 11], ' ') AS g FROM (SELECT id, t, unnest(range(1, len(t) - 10)) AS n FROM d)),
 y AS (SELECT id, array_to_string(t[n:n + 11], ' ') AS g FROM (SELECT id, t, unnest(range(1, len(t) - 10)) AS n FROM i))"""
 
+_P4_GROUPS = """
+k AS (SELECT id, list(g ORDER BY g) AS key FROM g GROUP BY id),
+m AS (SELECT id, min(id) OVER (PARTITION BY key) AS cid FROM k),
+r AS (SELECT id_a AS a, id_b AS b FROM f JOIN m x ON x.id = id_a JOIN m y ON y.id = id_b WHERE x.id = x.cid AND y.id = y.cid),
+v AS (SELECT a, b FROM r UNION ALL SELECT b, a FROM r),
+z AS (SELECT a, b FROM v UNION SELECT z.a, v.b FROM z JOIN v ON v.a = z.b)"""
+
 SQL = {
+    "p4_groups": f"""WITH RECURSIVE {_P4}, {_P4_GROUPS} SELECT m.id, m.cid AS class_id, least(m.cid, coalesce((SELECT min(b) FROM z WHERE z.a = m.cid), m.cid)) AS group_id,
+      (SELECT count(*) FROM v WHERE v.a = m.cid) AS n_links FROM m""",
     "p6_found": f"WITH {_P6} SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM x JOIN y ON x.g = y.g",
     "p4_found": f"WITH {_P4} SELECT id_a, id_b FROM f",
     "p1_found": f"WITH {_P1} SELECT DISTINCT least(id, nbr) AS id_a, greatest(id, nbr) AS id_b FROM t",

@@ -83,8 +83,7 @@ def test_near_duplicates_lose_nothing(spark, monkeypatch, seed, words, t):
 
 def test_near_duplicates_when_everything_is_common(spark, monkeypatch):
     """No shingle counts as rare: all sets are weak and the exact remainder has to find every pair."""
-    monkeypatch.setattr(near_duplicates, "COMMON", 0.0)
-    monkeypatch.setattr(near_duplicates, "max", lambda *a: 0, raising=False)
+    monkeypatch.setattr(near_duplicates, "RARE", 0)
     texts = _texts(5, 24)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {(r["id_a"], r["id_b"]) for r in NearDuplicates(df, 3, 0.7, 1).pairs().collect()}
