@@ -1,13 +1,21 @@
 """Problem 8: template residue and error-page text.
 
-Trusted labels come from rules on whole lines: placeholders of templating systems in running text (code, quotations and
-traceback frames are removed first), and documents in which every line between a title and a footer is filler, an error
-message or a script notice. The second label is then spread to records that differ by small edits: bodies (without title
-and footer, numbers and ids masked) get a 64-bit SimHash of their n-grams, are looked up in tables keyed by pairs of its
-PIECES pieces and by size (two hashes at most HAMMING bits apart agree on two of HAMMING + 2 pieces), verified by Hamming
-distance and by the Jaccard similarity of the n-grams, and labels run through the connected components from the labelled
-records out: only records near a labelled one are ever compared, so the tables meet a small side.
-Placeholders are never spread: the same text with its values filled in is a good record.
+A text is cut into segments: its lines, and lines that no rule knows into sentences. A first title and a last footer line
+are set aside. Trusted labels come from a list of labelled examples and from rules; a document without content is one
+whose segments are all labelled, at least one of them as residue. Most wordings are in no list, so labels spread over
+the graph of similar segments:
+
+1. Segments (numbers and ids masked) get a 64-bit SimHash of their n-grams and are looked up in tables keyed by pairs of
+   its PIECES pieces and by size. Hashes up to PIECES - 2 bits apart agree on such a pair for certain, others by chance;
+   pairs up to HAMMING bits apart are kept. (Recall against all pairs is measured in the tests and given in the README.)
+2. Candidates are verified by the Jaccard similarity of the n-grams.
+3. Labels run through the connected components, from the labelled segments out: only segments near a labelled one are
+   compared, so the tables meet a small side. A component with a residue label is residue, one with only labels of
+   accompanying text ("check back later") is such text.
+
+A document needs all its segments labelled, so only its longest unknown one meets the tables at first; the others follow
+where that one got a label. Placeholders are found by rules on running text (code, quotations and traceback frames are
+removed first) and never spread: the same text with its values filled in is a good record.
 """
 
 from __future__ import annotations
@@ -26,8 +34,9 @@ from pyspark.sql import functions as F
 from closura.llm.leakage import spread
 from closura.plans.staging import Stage
 
-HAMMING, GRAM, SIMILAR = 10, 4, 0.8
-PIECES = HAMMING + 2
+HAMMING, PIECES, GRAM, SIMILAR = 18, 12, 4, 0.8
+#: Lines of more words are judged sentence by sentence.
+LINE = 40
 
 # --- placeholders -------------------------------------------------------------------------------------------------
 _NAME = r"[A-Za-z][A-Za-z0-9_ .-]{0,40}"
@@ -35,11 +44,11 @@ PLACEHOLDER = re.compile(
     "|".join([
         r"\{\{\s*" + _NAME + r"\s*\}\}", r"\{%-?\s*" + _NAME + r"\s*-?%\}", r"<%=?\s*" + _NAME + r"\s*%>", r"[$#]\{" + _NAME + r"\}", r"(?<![\w$])\$[A-Za-z][A-Za-z_]*\$(?![\w$])",
         r"%\([A-Za-z]\w*\)[sdrf]", r"(?<!\w)__[A-Z][A-Z0-9_]*?__(?!\w)", r"@@" + _NAME + r"@@", r"\[\[" + _NAME + r"\]\]", r"\[(?:INSERT|ENTER|ADD|YOUR)\b[^\]\n]{0,60}\]",
-        r"\[[^\]\n]{1,60} (?:goes|go) here\]", r"(?i:<(?:your|insert|enter|add)\b[^<>\n]{1,60}>)", r"(?<!\w)(?:TBD|TBA|TODO|FIXME)\([A-Za-z][A-Za-z_ ]*\)", r"(?<!\w)TK TK(?!\w)",
+        r"\[[^\]\n]{1,60} (?:goes|go) here\]", r"(?i:<(?:your|insert|enter|add)\b[^<>\n]{1,60}>)", r"(?<!\w)(?:TBD|TBA|TODO|FIXME)\([A-Za-z][A-Za-z_ ]*\)", r"(?<!\w)TK TK(?!\w)", r"(?<![\w%])%[A-Z][A-Z_]{3,}%(?![\w%])", r"(?i:(?:dear|hello|hi|hallo|liebe[r]?|bonjour|estimad[oa]|ciao)) \[[A-Z][A-Za-z ]{1,30}\](?![(\[])",
         r"(?<![\w>.`])<(?P<tag>[A-Za-z][A-Za-z_]*(?: [a-z_]+){0,3})>(?!\w)", r"(?<![\w{$#%])\{[A-Za-z][A-Za-z]*(?:_[A-Za-z]+)*\}(?!\})",
     ])
 )
-_HINT = re.compile(r"[{<\[$]|%\(|__[A-Z]|@@|(?:TBD|TBA|TODO|FIXME)\(|TK TK")
+_HINT = re.compile(r"[{<\[$]|%\(|%[A-Z]{2}|__[A-Z]|@@|(?:TBD|TBA|TODO|FIXME)\(|TK TK")
 HTML = frozenset("a abbr article aside b blockquote body br button caption center code col dd details div dl dt em fieldset figure font footer form frame h1 h2 h3 h4 h5 h6 head header hr html i iframe img input label legend li link main meta nav noscript object ol optgroup p param pre q s samp script section select small span strike strong style sub summary sup svg table tbody td textarea tfoot th thead tr tt u ul var video".split())
 FRAMES = frozenset("module lambda string stdin listcomp genexpr dictcomp setcomp locals frozen".split())
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*$|\Z)", re.S | re.M)
@@ -64,35 +73,56 @@ def placeholder(text: str) -> bool:
     return False
 
 
-# --- filler, error messages and script notices: fixed patterns for whole masked lines --------------------------------
+# --- filler, error messages and script notices: fixed patterns for whole masked lines or sentences ---------------------
 _JS = r"(?:java ?scripts?|scripts?|scripting)"
 _ON = r"(?:enabled?|allow(?:ed)?|permit(?:ted)?|activated?|turn(?:ed)? on|switch(?:ed)? on)"
 NOTICE = re.compile("|".join([
     r"^(?:please |you (?:need|have) to |you must )?(?:enable|activate|allow|permit|turn on|switch on) " + _JS + r"\b", r"\b(?:need|have|has|must) to " + _ON + r" " + _JS, _JS + r" (?:must|should|has to|have to|needs? to) be " + _ON,
     _JS + r" (?:is|are|was|has been|seems to be) (?:currently )?(?:switched off|disabled|turned off|blocked|required|not enabled|probably blocked)", r"\b(?:has|have) " + _JS + r" (?:disabled|switched off|turned off)", r"\b(?:needs?|requires?) " + _JS + r"(?: to (?:run|work|load|continue))?\b.{0,40}$",
-    r"\bwithout " + _JS + r"\b.{0,60}\b(?:cannot|can't|could not|will not|won't) be (?:shown|displayed|loaded|rendered)", r"\b(?:cookies and|and) " + _JS + r" (?:is|are) required", r"^scripts are probably blocked", r"nothing appears, .*" + _JS + r".*blocked",
+    r"\bwithout " + _JS + r"\b.{0,60}\b(?:cannot|can't|could not|will not|won't) be (?:shown|displayed|loaded|rendered)", r"\b(?:cookies and|and) " + _JS + r" (?:is|are) required",
     r"^(?:bitte )?java ?script (?:bitte )?(?:einschalten|aktivieren|zulassen|erlauben)", r"^bitte java ?script\b", r"java ?script (?:ist )?(?:deaktiviert|ausgeschaltet|nicht aktiviert)", r"^(?:veuillez |merci d[e'] ?)?(?:activer|activez|autoriser) java ?script", r"java ?script est (?:désactivé|requis|nécessaire)",
-    r"^(?:por favor,? )?(?:active|activa|habilite|habilita|active usted) java ?script", r"java ?script (?:está )?(?:desactivado|deshabilitado)", r"browser is not supported",
+    r"^(?:por favor,? )?(?:active|activa|habilite|habilita|active usted) java ?script", r"java ?script (?:está )?(?:desactivado|deshabilitado)", r"java ?script (?:muss|sollte) (?:eingeschaltet|aktiviert|zugelassen)", r"\babilita(?:re)? java ?script", r"\b(?:ative|habilite|ativar) o? ?java ?script", r"\bbrowser with java ?script (?:support )?(?:is )?(?:required|needed)", r"browser is not supported",
 ]))
 _STATUS = r"(?:internal server error|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|not found|forbidden|unauthori[sz]ed|bad request|too many requests|request time-?out|payment required|gone|method not allowed|not acceptable|conflict)"
 ERROR = re.compile("|".join([
     r"^(?:http |error |erreur |fehler )?#?\s*:?\s*" + _STATUS + r"[.!]?$", r"^(?:http |error |erreur |fehler )(?:code )?#[.!]?$", r"^#{1}$", r"\bpage\b.{0,40}\b(?:does not exist|doesn't exist|not found|has moved|could not be found|cannot be found|no longer exists)", r"^page not found", r"^(?:die )?(?:seite|angeforderte (?:seite|adresse)).{0,40}(?:nicht gefunden|gibt es hier nicht|existiert nicht)",
-    r"^page (?:introuvable|non trouvée)", r"cette page n'existe", r"página no (?:encontrada|existe)", r"^access denied", r"\bdo(?:es)? not have permission to (?:view|access|see|open)", r"\b(?:your )?session has (?:ended|expired|timed out)", r"^sign in again", r"^too many requests", r"\byou have been (?:rate )?limited",
-    r"\byou are not a robot\b", r"verify (?:that )?you are (?:a )?human", r"^something went wrong", r"please try again (?:later|in a few)", r"^upstream (?:request|connect)", r"^error establishing a", r"serveur ne répond pas", r"réessayez plus tard", r"^no results\. the document", r"^(?:the|this) (?:repository|page|document|project|file|site) is (?:currently |temporarily )?unavailable",
-    r"^we (?:could not|couldn't|can't|cannot) find (?:what|the page) you", r"^\{\"(?:error|errors|status|code|fault)\":.*\}$", r"^<html>.*<title>(?:#|[^<]*error[^<]*)</title>.*</html>$", r"^retry in #\s?s", r"^(?:the )?(?:server|service) is (?:down|busy|overloaded|temporarily)", r"el servidor no responde", r"der server antwortet nicht", r"^(?:the|this) [\w ]{1,30} (?:could not|couldn't|cannot|can't) be (?:loaded|displayed|found|opened|reached)", r"\bis (?:down|closed) for maintenance",
+    r"^page (?:introuvable|non trouvée)", r"cette page n'existe", r"página no (?:encontrada|existe)", r"^access denied", r"\bdo(?:es)? not have permission to (?:view|access|see|open)", r"\b(?:your )?session has (?:ended|expired|timed out)", r"^sign in again", r"^too many requests",
+    r"\byou are not a robot\b", r"verify (?:that )?you are (?:a )?human", r"^something went wrong", r"please try again (?:later|in a few)", r"^http # [a-z' -]{2,30}$", r"^(?:the|this) (?:repository|page|document|project|file|site) is (?:currently |temporarily )?unavailable",
+    r"^\{\"(?:error|errors|status|code|fault)\":.*\}$", r"^<html>.*<title>(?:#|[^<]*error[^<]*)</title>.*</html>$", r"^(?:the )?(?:server|service) is (?:down|busy|overloaded|temporarily)", r"^(?:the|this) [\w ]{1,30} (?:could not|couldn't|cannot|can't) be (?:loaded|displayed|found|opened|reached)", r"\bis (?:down|closed) for maintenance",
 ]))
 FILLER = re.compile("|".join([
-    r"^(?:hier steht später|hier folgt|platzhalter)", r"^texto de relleno", r"^(?:ce texte|texte) (?:provisoire|de remplissage|sera)", r"\bhas not been written yet\b", r"\b(?:is|are|was) (?:intentionally )?left blank\b", r"^write the (?:description|text|summary|content)s?\b.*\bhere\b", r"^replace this (?:paragraph|text|section|sentence)", r"\bno (?:description|summary|documentation|content|text) (?:yet|available|provided)\.?$", r"^what (?:x|it) is$", r"^what comes back$",
-    r"^(?:coming soon|under construction|content goes here|description goes here|text goes here)[.!]*$", r"^(?:[-*+]|#[.)])\s*(?:first|second|third|some|next|another|last|other) (?:point|item|bullet|step|thing|line|entry|element)\.?$",
+    r"\bno (?:description|summary|documentation|content|text) (?:yet|available|provided)\.?$", r"^(?:coming soon|under construction|content goes here|description goes here|text goes here)[.!]*$",
+    r"^(?:[-*+]|#[.)])\s*(?:first|second|third|some|next|another|last|other) (?:point|item|bullet|step|thing|line|entry|element)\.?$",
 ]))
+#: Labelled examples, masked: fixed values. RESIDUE says that there is no content, COMPANION goes along with it.
+RESIDUE = """
+this page intentionally left blank.|this section is left blank on purpose and will be completed by whoever picks it up.|text for this page has not been written yet.|write the description of this symbol here.
+replace this paragraph with your own text.|replace this paragraph with your own words.|content will be added here soon.|this article is a placeholder.|hier steht später die beschreibung.|platzhalter für den späteren text.|texto de relleno.|texto de relleno, sustituir antes de publicar.|texte provisoire, à remplacer.
+error establishing a database connection|error establishing a connection to the document store|upstream connect error or disconnect/reset before headers|upstream request timeout|upstream request timeout id=#|no results.
+we could not find what you were looking for.|we can't find the page you are looking for.|it looks like nothing was found at this location.|the document # is gone (#).|the requested url was not found on this server.|es posible que el enlace esté roto.
+die angeforderte adresse gibt es hier nicht (mehr).|der server antwortet nicht, bitte versuchen sie es später erneut.|erreur # : le serveur ne répond pas, réessayez plus tard.|el servidor no responde, inténtelo de nuevo más tarde.
+this repository is unavailable because it was removed or made private (ref #).|the diff could not be loaded.|it may be too large or the service is down for maintenance.|it may be too large or the channel service is down for maintenance.|you have been limited to # calls a minute, slow down and retry after # seconds.
+checking that you are not a robot ...|checking your browser before accessing the site.|please wait while the page is rendered on the client.|please wait while the invoice is rendered on the client.|if nothing appears, scripts are probably blocked.
+your browser is not supported or has javascript disabled.|you need to enable javascript to run this app.|this site requires javascript and cookies to be enabled.|please turn javascript on and reload the page.
+"""
+COMPANION = """
+check back later.|delete it when you are done.|this takes a moment.|turn it on and reload to see this page.|use a current one to read the thread.|say what it does, what it takes and what it gives back.|sign in again to read this discussion.|enable scripting to continue.
+please try again later.|please try again in a few minutes.|retry in #s|retry in # s|vorgang #|ray #|request #|request id: #|reference: #|proxy/#|loading ...|performance and security by the content network|x : type|what x is|what comes back
+"""
+
+
+def examples() -> list[tuple[str, int]]:
+    return [(x, label) for text, label in ((RESIDUE, 2), (COMPANION, 1)) for line in text.strip().split("\n") for x in line.split("|")]
+
+
 #: Words of the usual filler text, and of hands on a keyboard.
 LATIN = frozenset("lorem ipsum dolor sit amet consectetur consectetuer adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum massa augue vitae porta nunc urna justo felis orci erat lacus tellus mauris vestibulum pellentesque morbi tristique senectus netus fames ac turpis egestas donec praesent vivamus".split())
 MASH = frozenset("abc aaa bbb ccc ddd xxx yyy zzz qwe rty asd fgh hjkl jkl qwerty asdf qwertz test foo bar baz xyz blah bla".split())
 NEUTRAL = re.compile(
-    r"^(?:[-=*_#\s|.]+|parameters|returns|raises|yields|examples?|notes?|type|x : type|loading ?\.*|home|index|imprint|impressum|inicio|accueil|startseite|contact|kontakt|help|about|login|log ?in|sign ?in|sign up|log ?out|search|back(?: to \w+)*|menu|oops!?|proxy/[\d.#]+|(?:\(c\)|©|copyright).*|reference:? .*|ray #.*|request #.*|(?:\w+)(?: [|·/>] \w+)+)$"
+    r"^(?:[-=*_#\s|.]+|parameters|returns|raises|yields|examples?|notes?|type|home|index|imprint|impressum|inicio|accueil|startseite|contact|kontakt|help|about|login|log ?in|sign ?in|sign up|log ?out|search|back(?: to \w+)*|menu|oops!?|(?:\(c\)|©|copyright).*|(?:\w+)(?: [|·/>] \w+)+)$"
 )
 #: Words of which each match of ERROR or FILLER that has words holds one (a quick test before the patterns).
-_SIGNS = frozenset("error errors erreur fehler http internal bad service gateway not forbidden unauthorized unauthorised too request payment gone method conflict page seite adresse introuvable trouvée existe encontrada access permission session sign limited robot human wrong try upstream serveur réessayez results unavailable find status code fault html retry server responde antwortet could couldn cannot can maintenance".split()) | frozenset("hier platzhalter texto texte written blank write replace no what coming under content description text point item bullet step thing line entry element".split())
+_SIGNS = frozenset("error errors erreur fehler http internal bad service gateway not forbidden unauthorized unauthorised too request payment gone method conflict page seite adresse introuvable trouvée existe encontrada access permission session sign robot human wrong try unavailable status code fault html server could couldn cannot can maintenance no coming under content description text point item bullet step thing line entry element".split())
 _MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+(?:[.,:]\d+)*")
 _WORDS = re.compile(r"[^\W_]+")
 
@@ -102,14 +132,17 @@ def mask(line: str) -> str:
 
 
 def residue_line(line: str) -> bool:
-    """A whole masked line of filler, an error message or a script notice."""
-    line = re.sub(r"^</?noscript>|</?noscript>$", "", line)
+    """A masked line or sentence of filler, an error message or a script notice."""
+    if "noscript>" in line:
+        line = re.sub(r"^</?noscript>|</?noscript>$", "", line)
     words = _WORDS.findall(line)
     if len(words) >= 4 and len(set(words)) <= 2:
         return True
-    if len(words) >= 4 and sum(w in LATIN for w in words) >= 0.7 * len(words):
+    if len(words) >= 4 and not LATIN.isdisjoint(words) and sum(w in LATIN for w in words) >= 0.7 * len(words):
         return True
-    if len(words) > 40:  # notices are short
+    if words and len(words) < 4 and LATIN.issuperset(words) and max(map(len, words)) >= 4:
+        return True
+    if len(words) > LINE:  # judged by its sentences
         return False
     if words and all(w in MASH for w in words) or re.fullmatch(r"#(?: #)+", line):
         return True
@@ -119,31 +152,61 @@ def residue_line(line: str) -> bool:
 
 
 _TITLE = re.compile(r"^(?:#+ )?[^.?!;]*(?:\.\w[^.?!;]*)*$")
+_SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+#: Words of sentences that explain a notice at length.
+_TOPIC = re.compile(r"\b(?:java ?scripts?|scripts?|scripting|cookies?|ad ?blockers?|browsers?|reload|refresh)\b")
 
 
 def _kind(line: str) -> int:
     return 2 if residue_line(line) else 1 if NEUTRAL.match(line) else 0
 
 
-def body_lines(text: str) -> tuple[list[str], bool]:
-    """Masked lines without a title and footer, and whether nothing but residue is left."""
-    lines = [m for x in re.split(r"\r\n|\r|\n", text) if (m := mask(x))]
-    lo, hi, first = 0, len(lines), _kind(lines[0]) if lines else 0
-    if hi > 1 and not first and len(lines[0].split()) <= 10 and _TITLE.match(lines[0]):
-        lo = 1
-    last = _kind(lines[-1]) if lines else 0
-    while hi - lo > 1 and last < 2 and (last or len(lines[hi - 1].split()) <= 6 and _TITLE.match(lines[hi - 1])):
-        hi, footer = hi - 1, not last
-        last = _kind(lines[hi - 1])
-        if footer:  # one line that isn't known as a footer
-            break
-    residue = False
-    for x in lines[lo:hi]:
-        kind = _kind(x)
-        if not kind:
-            return lines[lo:hi], False
-        residue |= kind == 2
-    return lines[lo:hi], residue
+class Reading:
+    """The masked lines ``lo`` to ``hi`` of a text without a title and footer, ``aside``; kinds are worked out when asked for."""
+
+    def __init__(self, text: str):
+        self.lines = [m for x in re.split(r"\r\n|\r|\n", text) if (m := mask(x))]
+        self.kinds: dict[int, int] = {}
+        self.lo, self.hi, self.aside = 0, len(self.lines), []
+        if self.hi > 1 and len(self.lines[0].split()) <= 10 and _TITLE.match(self.lines[0]) and not self.kind(0):
+            self.lo, self.aside = 1, [self.lines[0]]
+        while self.hi - self.lo > 1:
+            end = self.lines[self.hi - 1]
+            short = len(end.split()) <= 6 and _TITLE.match(end)
+            if not (short or NEUTRAL.match(end)) or (kind := self.kind(self.hi - 1)) == 2:
+                break
+            self.hi -= 1
+            if not kind:  # one line that isn't known as a footer
+                self.aside.append(end)
+                break
+
+    def kind(self, i: int) -> int:
+        """2 residue by rule, 1 neutral, 0 unknown."""
+        if i not in self.kinds:
+            self.kinds[i] = _kind(self.lines[i])
+        return self.kinds[i]
+
+    def sentences(self, i: int) -> list[tuple[str, int]]:
+        """Line i, if no rule knows it, in sentences with their kinds. In a line of more than LINE words that opens with a
+        notice, sentences that go on about scripts and browsers are neutral."""
+        if k := self.kind(i):
+            return [(self.lines[i], k)]
+        parts = _SENTENCE.split(self.lines[i])
+        own = [_kind(x) for x in parts]
+        notice = len(self.lines[i].split()) > LINE and own[0] == 2
+        return [(x, 1 if notice and not k and _TOPIC.search(x) else k) for x, k in zip(parts, own, strict=True)]
+
+    def segments(self) -> list[tuple[str, int]]:
+        return [x for i in range(self.lo, self.hi) for x in self.sentences(i)]
+
+    def longest(self) -> str | None:
+        """The longest unknown segment (the first of several); lines that are shorter than one already found aren't judged."""
+        best = ""
+        for i in sorted(range(self.lo, self.hi), key=lambda i: (-len(self.lines[i]), i)):
+            if len(self.lines[i]) <= len(best):
+                break
+            best = max([best, *(x for x, k in self.sentences(i) if not k)], key=len)
+        return best or None
 
 
 # --- SimHash ----------------------------------------------------------------------------------------------------------
@@ -164,63 +227,126 @@ def simhash(g: np.ndarray) -> int:
     return int(np.packbits(votes * 2 > len(x)).view(np.int64)[0])
 
 
+def _key(segment: str) -> bytes:
+    return hashlib.blake2b(segment.encode(errors="replace"), digest_size=16).digest()
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a document: mark (placeholder), its longest unknown segment, and for documents that the rules know whole proof
+    (some of it is residue) and their residue segments."""
+    for b in batches:
+        rows: dict[str, list] = {c: [] for c in ("id", "mark", "segment", "proof", "trusted")}
+        for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            read, trusted = Reading(text), []
+            if (segment := read.longest()) is None:
+                trusted = sorted({x for x, k in read.segments() if k == 2})
+                if not trusted:  # neutral lines only: the title or footer has to say it
+                    segment = max(read.aside, key=len, default=None)
+            for c, x in zip(rows, (i, placeholder(text), segment, bool(trusted), trusted), strict=True):
+                rows[c].append(x)
+        kinds = (pa.int64(), pa.bool_(), pa.string(), pa.bool_(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, doc, segment, needed, label): the segments of a document but for neutral ones, label 2 if residue by rule. Title
+    and footer need no label, but may give one. ``doc`` tells documents that share an id apart."""
     for b in batches:
-        ids, marks, seeds, keys, sims, sizes, bodies = [], [], [], [], [], [], []
+        rows: dict[str, list] = {c: [] for c in ("id", "doc", "segment", "needed", "label")}
         for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            lines, seed = body_lines(text)
-            body = "\n".join(lines)
-            ids.append(i), marks.append(placeholder(text)), seeds.append(seed), bodies.append(body)
-            g = grams(body)
-            keys.append(hashlib.blake2b(body.encode(errors="replace"), digest_size=16).digest()), sims.append(simhash(g)), sizes.append(len(g))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(marks, pa.bool_()), pa.array(seeds, pa.bool_()), pa.array(keys, pa.binary()), pa.array(sims, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bodies, pa.string())], names=["id", "mark", "seed", "key", "sim", "n", "body"])
+            read, doc = Reading(text), _key(text)
+            found = {x: (False, 0) for x in read.aside} | {x: (True, k) for x, k in read.segments() if k != 1}
+            for x, (needed, label) in found.items():
+                for c, y in zip(rows, (i, doc, x, needed, label), strict=True):
+                    rows[c].append(y)
+        kinds = (pa.int64(), pa.binary(), pa.string(), pa.bool_(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = [grams(x) for x in b.column("segment").to_pylist()]
+        keys = [_key(x) for x in b.column("segment").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("segment"), b.column("label"), pa.array([simhash(g) for g in found], pa.int64()), pa.array([len(g) for g in found], pa.int32())], names=["b", "segment", "label", "sim", "n"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
-        for x, y in zip(b.column("ba").to_pylist(), b.column("bb").to_pylist(), strict=True):
+        for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True):
             g, h = grams(x), grams(y)
             both = len(np.intersect1d(g, h, assume_unique=True))
             keep.append(both >= SIMILAR * (len(g) + len(h) - both))
-        yield pa.RecordBatch.from_arrays([b.column("b").filter(pa.array(keep, pa.bool_()))], names=["b"])
+        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+class Segments:
+    """Nodes (b, segment, label, sim, n), b the digest of the segment; ``df`` has segment and label, the largest label counts."""
+
+    def __init__(self, df: DataFrame, stage: Stage):
+        self.stage = stage
+        once = df.where("segment is not null").groupBy("segment").agg(F.max("label").cast("int").alias("label"))
+        self.nodes = stage.put(once.mapInArrow(_hashed, "b binary, segment string, label int, sim long, n int"))
+
+    @staticmethod
+    def _tables(df: DataFrame, reach: int) -> DataFrame:
+        cut = [i * 64 // PIECES for i in range(PIECES + 1)]
+        piece = [F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("int") for lo, hi in zip(cut, cut[1:], strict=False)]
+        band = F.floor(F.ln("n") / F.lit(-math.log(SIMILAR))).cast("int")  # similar sets are at most one band apart
+        keys = [((F.lit(t * 64) + piece[i]) * 64 + piece[j]) * 64 for t, (i, j) in enumerate(combinations(range(PIECES), 2))]
+        near = F.explode(F.array(*[F.greatest(band + d, F.lit(0)) for d in range(-reach, reach + 1)]))
+        cells = df.select("b", "sim", "n", near.alias("band")).distinct() if reach else df.select("b", "sim", "n", band.alias("band"))
+        return cells.select("b", "sim", "n", "band", F.explode(F.array(*keys)).alias("k")).select("b", "sim", "n", (F.col("k") + F.col("band")).alias("k"))
+
+    def similar(self, front: DataFrame, to: DataFrame) -> DataFrame:
+        """(a, b): nodes ``b`` of ``to`` that the tables find for nodes ``a`` of ``front``, verified."""
+        near = self._tables(to, 0).join(self._tables(front, 1).select(F.col("b").alias("a"), F.col("sim").alias("sa"), F.col("n").alias("na"), "k"), "k")
+        near = near.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("sa"))) <= HAMMING) & (F.least("n", "na") >= SIMILAR * F.greatest("n", "na")) & (F.col("a") != F.col("b"))).select("a", "b").distinct()
+        both = near.join(front.select(F.col("b").alias("a"), F.col("segment").alias("sa")), "a").join(to.select("b", F.col("segment").alias("sb")), "b")
+        return both.select("a", "b", "sa", "sb").mapInArrow(_similar, "a binary, b binary")
+
+    def spread(self) -> DataFrame:
+        """Give every node the largest label of its component, from the labelled nodes out; returns ``nodes``."""
+        front = self.nodes.where("label > 0")
+        while True:
+            ends = front.agg(F.min("n"), F.max("n"), F.max("label")).first()
+            if ends[0] is None:
+                return self.nodes
+            may = self.nodes.where(F.col("n").between(SIMILAR * ends[0], ends[1] / SIMILAR) & (F.col("label") < ends[2]))
+            found = self.similar(front, may).join(front.select(F.col("b").alias("a"), F.col("label").alias("to")), "a").groupBy("b").agg(F.max("to").alias("to"))
+            front = self.stage.put(self.nodes.join(found, "b").where("to > label").select("b", "segment", F.col("to").alias("label"), "sim", "n"))
+            if front.isEmpty():
+                return self.nodes
+            up = front.select("b", F.col("label").alias("to"))
+            before, self.nodes = self.nodes, self.stage.put(self.nodes.join(up, "b", "left").select("b", "segment", F.coalesce("to", "label").alias("label"), "sim", "n"))
+            self.stage.drop(before)
 
 
 def residue(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind, found_by): kind ``placeholder`` or ``no_content``, found by ``rule`` or ``similar``.
+    """(doc_id, kind, found_by): kind ``placeholder`` or ``no_content``.
 
-    Null and blank texts are no cases; texts are read whole; every row of equal texts comes out; a document with both
-    kinds has one row of kind placeholder. Empty tables give no rows; other columns are not read.
+    ``found_by`` is ``rule`` where rules know every segment, ``similar`` where a label came through the tables. Null and
+    blank texts are no cases; texts are read whole; every row comes out for itself, rows that share an id if one of
+    them is a case; a document with both kinds has one row of kind placeholder. Empty tables give no rows;
+    other columns are not read.
     """
     spark, stage = documents.sparkSession, Stage(documents.sparkSession, "residue")
-    docs = spread(documents.select(F.col("doc_id").alias("id"), "text").where(r"id is not null and text is not null and text rlike '\\S'"), "id")
-    read = stage.put(docs.mapInArrow(_read, "id long, mark boolean, seed boolean, key binary, sim long, n int, body string"))
-    bodies = read.groupBy("key").agg(F.min("id").alias("b"), F.max("seed").alias("seed"), F.first("sim").alias("sim"), F.first("n").alias("n"))
-    bodies = stage.put(bodies)
-    texts = read.select(F.col("id").alias("b"), "body")
-    cut = [i * 64 // PIECES for i in range(PIECES + 1)]
-    piece = [F.shiftrightunsigned("sim", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).cast("int") for lo, hi in zip(cut, cut[1:], strict=False)]
-    band = F.floor(F.ln("n") / F.lit(-math.log(SIMILAR))).cast("int")  # similar sets are at most one band apart
-
-    def tables(df: DataFrame, reach: int) -> DataFrame:
-        keys = [((F.lit(t * 64) + piece[i]) * 64 + piece[j]) * 64 for t, (i, j) in enumerate(combinations(range(PIECES), 2))]
-        near = F.explode(F.array(*[F.greatest(band + d, F.lit(0)) for d in range(-reach, reach + 1)]))
-        return df.select("b", "sim", "n", near.alias("band")).select("b", "sim", "n", "band", F.explode(F.array(*keys)).alias("k")).select("b", "sim", "n", (F.col("k") + F.col("band")).alias("k"))
-
-    open_ = bodies.where("not seed").select("b", "sim", "n")
-    front = done = bodies.where("seed").select("b", "sim", "n")
-    while True:
-        ends = front.agg(F.min("n"), F.max("n")).first()
-        if ends[0] is None:
-            break
-        may = open_.where(F.col("n").between(SIMILAR * ends[0], ends[1] / SIMILAR))
-        near = tables(may, 0).join(tables(front, 1).select(F.col("b").alias("a"), F.col("sim").alias("sa"), F.col("n").alias("na"), "k"), "k")
-        near = near.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("sa"))) <= HAMMING) & (F.least("n", "na") >= SIMILAR * F.greatest("n", "na"))).select("a", "b").distinct()
-        both = near.join(texts.select(F.col("b").alias("a"), F.col("body").alias("ba")), "a").join(texts.select("b", F.col("body").alias("bb")), "b")
-        found = both.select("b", "ba", "bb").mapInArrow(_similar, "b long").distinct()
-        front = stage.put(open_.join(found, "b", "left_semi"))
-        done = done.union(front)
-        open_ = stage.put(open_.join(front, "b", "left_anti"))
-    spread_to = bodies.join(done.select("b"), "b", "left_semi").select("key", F.lit(True).alias("bad"))
-    out = read.select("id", "mark", "seed", "key").join(spread_to, "key", "left").where(F.col("mark") | F.col("seed") | F.col("bad"))
-    return out.select(F.col("id").alias("doc_id"), F.when(F.col("mark"), "placeholder").otherwise("no_content").alias("kind"), F.when(F.col("mark") | F.col("seed"), "rule").otherwise("similar").alias("found_by"))
+    docs = documents.select(F.col("doc_id").alias("d"), "text").where(r"d is not null and text is not null and text rlike '\\S'")
+    docs = spread(docs.select(F.col("d").alias("id"), "text"), "id")
+    read = stage.put(docs.mapInArrow(_read, "id long, mark boolean, segment string, proof boolean, trusted array<string>"))
+    known = spark.createDataFrame(examples(), "segment string, label int")
+    trusted = read.select(F.explode("trusted").alias("segment"), F.lit(2).alias("label"))
+    graph = Segments(read.select("segment", F.lit(0).alias("label")).union(trusted).union(known), stage)
+    labels = graph.spread().where("label > 0").select("segment", "label")
+    # only documents whose longest unknown segment got a label can be without content: their other segments follow
+    may = read.where("segment is not null").join(labels, "segment", "left_semi").select("id").distinct()
+    more = stage.put(docs.join(may, "id", "left_semi").mapInArrow(_expand, "id long, doc binary, segment string, needed boolean, label int"))
+    if not more.isEmpty():
+        graph = Segments(graph.nodes.select("segment", "label").union(more.select("segment", "label")), stage)
+        labels = graph.spread().where("label > 0").select("segment", F.col("label").alias("got"))
+        each = more.join(labels, "segment", "left").groupBy("id", "doc").agg(F.min(F.when(F.col("needed"), F.coalesce("got", F.lit(0)))).alias("least"), F.max("got").alias("most"))
+        similar = each.where("coalesce(least, 1) > 0 and most = 2").select("id").distinct()
+    else:
+        similar = may
+    out = read.join(similar.withColumn("near", F.lit(True)), "id", "left").where("mark or proof or near")
+    return out.select(F.col("id").alias("doc_id"), F.when(F.col("mark"), "placeholder").otherwise("no_content").alias("kind"), F.when(F.col("mark") | F.col("proof"), "rule").otherwise("similar").alias("found_by"))
