@@ -67,31 +67,39 @@ def orphan_report(spark: SparkSession, root: str) -> DataFrame:
 
 
 def orphan_cascade(spark: SparkSession, root: str) -> DataFrame:
-    """(record, src, dst, type, orphan, round): every orphaned record, direct (round 0) or inherited.
+    """(record, src, dst, type, period, orphan, round): every orphaned record, direct (round 0) or inherited.
 
-    Records are symbols (src = id, dst and type null) and edges; ids are given as strings. Starting from the direct orphans of
-    ``orphan_references``, a symbol inherits the state from any symbol it refers to; each round is one semi-join of the
-    references to the symbols that were new in the round before, so a symbol is visited once and reference cycles end.
-    An edge inherits it from either endpoint. ``round`` is the length of the shortest chain to a direct orphan.
+    Records are symbols (src = id, dst and type null) and edges; ids are given as strings, period is the month of the record's
+    ``indexed_at``. Starting from the direct orphans of ``orphan_references``, a symbol inherits the state from any symbol it
+    refers to; each round is one semi-join of the references to the symbols that were new in the round before, so a symbol is
+    visited once and reference cycles end. An edge inherits it from either endpoint. ``round`` is the length of the shortest
+    chain to a direct orphan. Ids that hold a large part of the edges are salted.
     """
     stage = Stage(spark, "cascade")
     direct = stage.put(orphan_references(spark, root))
-    links = stage.put(symbols_once(spark, root, ["repr_L3_refs"]).select(F.col("id").alias("child"), F.explode("repr_L3_refs").alias("parent")).where("parent is not null and parent <> child").distinct())
+    once = symbols_once(spark, root, ["repr_L3_refs", "indexed_at"])
+    links = stage.put(once.select(F.col("id").alias("child"), F.explode("repr_L3_refs").alias("parent")).where("parent is not null and parent <> child").distinct())
     known = direct.where("ref_field = 'symbols.repr_L3_refs'").select(F.col("owner_id").alias("id")).distinct().withColumn("round", F.lit(0))
     known = frontier = stage.put(known)
-    step = 0
-    while True:
+    step, n = 0, 1
+    while n:
         step += 1
         reached = links.join(frontier.select(F.col("id").alias("parent")), "parent", "left_semi").select(F.col("child").alias("id")).distinct()
-        frontier = stage.put(reached.join(known, "id", "left_anti").withColumn("round", F.lit(step)))
-        if frontier.isEmpty():
-            break
+        frontier, n = stage.counted(reached.join(known, "id", "left_anti").withColumn("round", F.lit(step)))
         known = known.union(frontier)
-    symbols = known.select(F.lit("symbol").alias("record"), F.col("id").cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("type"), "round")
-    e = edges_once(spark, root, [])
-    bad = direct.where("ref_field <> 'symbols.repr_L3_refs'").select(F.when(F.col("ref_field") == "edges.dst", F.col("owner_id")).otherwise(F.col("ref_id")).alias("src"), F.when(F.col("ref_field") == "edges.dst", F.col("ref_id")).otherwise(F.col("owner_id")).alias("dst"), F.lit(0).alias("d0")).distinct()
-    j = e.select("src", "dst", "type").join(bad.withColumnsRenamed({"src": "s", "dst": "d"}), F.col("src").eqNullSafe(F.col("s")) & F.col("dst").eqNullSafe(F.col("d")), "left").drop("s", "d")
+    month, none = F.date_format("indexed_at", "yyyy-MM").alias("period"), F.lit(None).cast("string")
+    symbols = known.join(once.select("id", "indexed_at"), "id").select(F.lit("symbol").alias("record"), F.col("id").cast("string").alias("src"), none.alias("dst"), none.alias("type"), month, "round")
+    e = stage.put(edges_once(spark, root, ["indexed_at"]).select("src", "dst", "type", "indexed_at"))
+    of_dst = F.col("ref_field") == "edges.dst"
+    bad = direct.where("ref_field <> 'symbols.repr_L3_refs'").select(F.when(of_dst, F.col("owner_id")).otherwise(F.col("ref_id")).alias("s"), F.when(of_dst, F.col("ref_id")).otherwise(F.col("owner_id")).alias("d"), F.lit(0).alias("d0")).distinct()
+    j = e.join(bad, F.col("src").eqNullSafe(F.col("s")) & F.col("dst").eqNullSafe(F.col("d")), "left").drop("s", "d")
     at = lambda c, n: known.select(F.col("id").alias(c), F.col("round").alias(n))
-    j = j.join(at("src", "rs"), "src", "left").join(at("dst", "rd"), "dst", "left")
-    edges = j.select(F.lit("edge").alias("record"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", F.coalesce("d0", F.least("rs", "rd") + 1).alias("round")).where("round is not null")
+    j = salted_left_join(j, at("src", "rs"), "src", heavy_values(e, "src"), F.col("dst"))
+    j = salted_left_join(j, at("dst", "rd"), "dst", heavy_values(e, "dst"), F.col("src"))
+    edges = j.select(F.lit("edge").alias("record"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "type", month, F.coalesce("d0", F.least("rs", "rd") + 1).alias("round")).where("round is not null")
     return symbols.union(edges).withColumn("orphan", F.when(F.col("round") == 0, "direct").otherwise("inherited"))
+
+
+def orphan_report_all(spark: SparkSession, root: str) -> DataFrame:
+    """(record, period, orphan, n_records, most_rounds): direct and inherited orphans per kind of record and month."""
+    return orphan_cascade(spark, root).groupBy("record", "period", "orphan").agg(F.count(F.lit(1)).alias("n_records"), F.max("round").alias("most_rounds"))

@@ -16,21 +16,17 @@ from closura.sources.tables import edge_type
 FIELDS = ("dst", "src", "type")
 
 
-def key_counts(edges: DataFrame) -> DataFrame:
-    """(field, key, n_rows) for every non-null key of edges.dst, edges.src and edges.type, rows as delivered.
+def heavy_keys(edges: DataFrame, share: float = 0.02) -> DataFrame:
+    """(field, key, n_rows, share) of the keys that hold ``share`` of all rows or more; at most 1 / share a field.
 
-    Nulls are no keys; an empty table gives no rows; repeated rows count. Extra columns are never read. The three fields
-    share one scan and one exchange; rows are combined map-side.
+    Two compact states meet: a row a key, and a row a field that is rolled up from the same partial counts (null keys count
+    towards all rows). The second has three rows, so it goes to every task; no row of ``edges`` is read twice or joined.
     """
     keys = F.array(*[F.struct(F.lit(f"edges.{f}").alias("field"), (edge_type() if f == "type" else F.col(f)).cast("string").alias("key")) for f in FIELDS])
-    return edges.select(F.explode(keys).alias("k")).select("k.*").where("key is not null").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def heavy_keys(edges: DataFrame, share: float = 0.02) -> DataFrame:
-    """(field, key, n_rows, share) of the keys that hold ``share`` of all rows or more; at most 1 / share a field."""
-    total = edges.count()
-    counts = key_counts(edges).where(F.col("n_rows") >= F.lit(share) * F.lit(total))
-    return counts.withColumn("share", F.col("n_rows") / F.lit(max(total, 1)))
+    state = edges.select(F.explode(keys).alias("k")).select("k.*").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n_rows"))
+    whole = state.groupBy("field").agg(F.sum("n_rows").alias("total"))
+    joined = state.where("key is not null").join(F.broadcast(whole), "field").where(F.col("n_rows") >= F.lit(share) * F.col("total"))
+    return joined.select("field", "key", "n_rows", (F.col("n_rows") / F.col("total")).alias("share"))
 
 
 def key_profile(edges: DataFrame, share: float = 0.02) -> DataFrame:
@@ -84,4 +80,4 @@ def two_hop_types(edges: DataFrame) -> DataFrame:
     e = edges.withColumn("type", edge_type())
     into = e.select(F.col("dst").alias("node"), F.col("type").alias("type_in"))
     out = e.select(F.col("src").alias("node"), F.col("type").alias("type_out"))
-    return eager_join_counts(into, out, "node", "type_in", "type_out").withColumn("n_pairs", F.col("n_pairs").cast("long"))
+    return eager_join_counts(into, out, "node", "type_in", "type_out")
