@@ -1,13 +1,14 @@
 """Problem 6: held-out evaluation texts inside the corpus, by latent semantic retrieval.
 
+0. Texts are cut into tokens once: a table of 32-bit token hashes, which the passes below read.
 1. Document frequencies of hashed tokens over the whole corpus give the weights of TF-IDF passages.
 2. A randomised SVD of the passage matrix is computed where the passages are: each task adds its part of A'A X to an
    array of fixed size (subspace iteration), the small factorisations happen on the driver. Its right singular vectors
    map any window of tokens to the latent space.
 3. The windows of the evaluation texts (a fixed table) are clustered; every window of every document probes the nearest
    clusters and keeps the evaluation windows whose latent cosine reaches a threshold.
-4. Candidates are checked on the tokens: the longest common run for leaked passages, the longest common subsequence and
-   the item's rarest words (the answer check) for paraphrases.
+4. Candidates are checked on the tokens by the longest common subsequence around the two windows. For paraphrases the
+   item's rarest words (the answer check) decide, for leaked passages the longest common run in these surroundings.
 
 For runs, windows of WINDOW tokens start every ``run - WINDOW + 1`` tokens in documents and at every token in items. A
 common run of ``run`` tokens then holds a document window that equals an item window; equal windows have equal latent
@@ -28,23 +29,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from closura.llm.gather import summed
+from closura.plans.staging import Stage
 
 TOKEN = re.compile(r"[a-z0-9]+")
 BUCKETS, RANK, EXTRA, PASSAGE, WINDOW, PIECE = 4096, 64, 8, 40, 8, 16384
+#: Characters of evaluation texts that are sent to all tasks at once; more are searched for in several passes.
+ITEM_CHARS = 16 << 20
 
 
 @functools.lru_cache(1 << 18)
 def _hash(t: str) -> int:
-    return xxhash.xxh3_64_intdigest(t)
+    return xxhash.xxh32_intdigest(t)
 
 
 def tokens(text: str) -> np.ndarray:
     found = TOKEN.findall(text.lower())
-    return np.fromiter((_hash(t) for t in found), np.uint64, len(found))
+    return np.fromiter((_hash(t) for t in found), np.uint32, len(found))
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(BUCKETS - 1)).astype(np.int64)
+    return (h & np.uint32(BUCKETS - 1)).astype(np.int64)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -53,9 +57,24 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(2 * want, key)
 
 
+def token_table(df: DataFrame, stage: Stage) -> DataFrame:
+    """(id, h) of (id, text): the hashes of each text's tokens, in their order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = [tokens(t) for t in b.column("text").to_pylist()]
+            flat = np.concatenate(h).view(np.int32) if h else np.zeros(0, np.int32)
+            ends = pa.array(np.cumsum([0, *map(len, h)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["id", "h"])
+
+    return stage.put(df.mapInArrow(run, "id long, h array<int>"))
+
+
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    for i, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-        yield i, tokens(text)
+    h = b.column("h")
+    flat, ends = h.flatten().to_numpy(zero_copy_only=False).view(np.uint32), h.offsets.to_numpy() - h.offsets[0].as_py()
+    for k, i in enumerate(b.column("id").to_pylist()):
+        yield i, flat[ends[k] : ends[k + 1]]
 
 
 @dataclass
@@ -74,7 +93,7 @@ class Latent:
 
 
 def fit(docs: DataFrame) -> Latent:
-    """Randomised SVD of the TF-IDF matrix of all passages (PASSAGE tokens each, unit length) of (id, text)."""
+    """Randomised SVD of the TF-IDF matrix of all passages (PASSAGE tokens each, unit length) of (id, h)."""
 
     def frequencies(b: pa.RecordBatch, total: np.ndarray) -> None:
         for _, h in _texts(b):
@@ -136,7 +155,7 @@ class Items:
             item.append(np.full(len(s), i)), start.append(s), z.append(latent.windows(h, s, length))
         self.item, self.start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (item, start))
         place = np.cumsum([0, *(len(h) for h in self.h.values())])[:-1]
-        self.flat = np.concatenate(list(self.h.values())) if self.h else np.zeros(0, np.uint64)
+        self.flat = np.concatenate(list(self.h.values())) if self.h else np.zeros(0, np.uint32)
         at = dict(zip(self.h, place.tolist(), strict=True))
         self.place = np.array([at[i] for i in self.item.tolist()], np.int64) + self.start  # of each window in ``flat``
         self.z = np.concatenate(z) if z else np.zeros((0, RANK), np.float32)
@@ -170,17 +189,14 @@ class Items:
         return (np.concatenate(rows), np.concatenate(wins)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def run_length(a: np.ndarray, i: int, b: np.ndarray, j: int, enough: int) -> int:
-    """Length of the common run through a[i] and b[j], as far as ``enough``."""
-    if a[i] != b[j]:
-        return 0
-    n = 1
-    while n < enough and i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
-        n += 1
-    k = 1
-    while n < enough and i >= k and j >= k and a[i - k] == b[j - k]:
-        n, k = n + 1, k + 1
-    return n
+def common_run(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common run."""
+    same = (a[:, None] == b[None, :]).astype(np.int32)
+    best = row = np.zeros(len(b) + 1, np.int32)
+    for x in same:
+        row = np.r_[0, (row[:-1] + 1) * x].astype(np.int32)
+        best = np.maximum(best, row)
+    return int(best.max())
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
@@ -196,10 +212,18 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - s.bit_count()
 
 
-def _inputs(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, list[tuple[int, str]]]:
+def _inputs(documents: DataFrame, items: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The token table of the documents, and the items in parts whose texts have at most ITEM_CHARS characters or so."""
     docs = documents.select(F.col("doc_id").alias("id"), "text").where("id is not null and text is not null")
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("item_id is not null and text is not null").dropDuplicates().collect()]  # a fixed table
-    return spread(docs, "id"), rows
+    held = items.select(F.col("item_id").alias("id"), "text").where("id is not null and text is not null").distinct()
+    chars = held.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    n = -(-chars // ITEM_CHARS)
+    parts = [held] if n <= 1 else [held.where(F.pmod(F.xxhash64("id"), F.lit(n)) == k) for k in range(n)]
+    return token_table(spread(docs, "id"), Stage(documents.sparkSession, "leakage")), parts
+
+
+def _rows(part: DataFrame) -> list[tuple[int, str]]:
+    return [(r["id"], r["text"]) for r in part.collect()]  # bounded by ITEM_CHARS
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12) -> DataFrame:
@@ -208,9 +232,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12) -> DataF
     Tokens are the maximal runs of [a-z0-9] of the lower-cased text. Null, blank and shorter texts have no cases; rows
     are distinct, whatever is repeated in either table; texts are read whole; empty tables give no rows.
     """
-    docs, rows = _inputs(documents, items)
+    docs, parts = _inputs(documents, items)
     latent = fit(docs)
-    held = docs.sparkSession.sparkContext.broadcast((latent, Items(rows, latent, WINDOW, 1)))  # of fixed size: 4096 rows of the map, and the fixed item table
     stride = run - WINDOW + 1
 
     def piece(lat: Latent, it: Items, ids: list[int], texts: list[np.ndarray], out: set[tuple[int, int]]) -> None:
@@ -221,32 +244,39 @@ def leaked_items(documents: DataFrame, items: DataFrame, run: int = 12) -> DataF
         for p in range(0, len(starts), PIECE):
             at = starts[p : p + PIECE]
             r, w = it.search(lat.windows(h, at, WINDOW), 0.98, 2)
-            equal = np.ones(len(r), bool)
-            for i in range(WINDOW):
-                equal &= h[at[r] + i] == it.flat[it.place[w] + i]
-            for x, y in zip(at[r[equal]].tolist(), w[equal].tolist(), strict=True):
-                d = int(np.searchsorted(ends, x, side="right"))
-                key = ids[d], int(it.item[y])
-                if key not in out and run_length(texts[d], x - int(begins[d]), it.h[key[1]], int(it.start[y]), run) >= run:
-                    out.add(key)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, it = held.value
-        for b in batches:
-            out: set[tuple[int, int]] = set()
-            ids, texts, n = [], [], 0
-            for i, h in _texts(b) if len(it.z) else ():
-                if len(h) >= run:
-                    ids.append(i), texts.append(h)
-                    n += len(h)
-                if n > 4 * PIECE:
+            d = np.searchsorted(ends, at[r], side="right")
+            for x, k, y in zip((at[r] - begins[d]).tolist(), d.tolist(), w.tolist(), strict=True):
+                key = ids[k], int(it.item[y])
+                if key not in out:
+                    mine, theirs = (v[max(0, s - run) : s + WINDOW + run] for v, s in ((texts[k], x), (it.h[key[1]], int(it.start[y]))))
+                    if common_subsequence(mine, theirs) >= run and common_run(mine, theirs) >= run:
+                        out.add(key)
+
+    def finder(held):
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lat, it = held.value
+            for b in batches:
+                out: set[tuple[int, int]] = set()
+                ids, texts, n = [], [], 0
+                for i, h in _texts(b) if len(it.z) else ():
+                    if len(h) >= run:
+                        ids.append(i), texts.append(h)
+                        n += len(h)
+                    if n > 4 * PIECE:
+                        piece(lat, it, ids, texts, out)
+                        ids, texts, n = [], [], 0
+                if ids:
                     piece(lat, it, ids, texts, out)
-                    ids, texts, n = [], [], 0
-            if ids:
-                piece(lat, it, ids, texts, out)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
+
+        return find
 
-    return docs.mapInArrow(find, "doc_id long, item_id long").distinct()
+    found = None
+    for part in parts:
+        held = docs.sparkSession.sparkContext.broadcast((latent, Items(_rows(part), latent, WINDOW, 1)))  # 4096 rows of the map, and a part of the items
+        got = docs.mapInArrow(finder(held), "doc_id long, item_id long")
+        found = got if found is None else found.union(got)
+    return found.distinct()
 
 
 def paraphrased_items(documents: DataFrame, items: DataFrame, length: int = 48, cosine: float = 0.8, share: float = 0.6, answers: int = 4) -> DataFrame:
@@ -254,13 +284,13 @@ def paraphrased_items(documents: DataFrame, items: DataFrame, length: int = 48,
 
     Passages of ``length`` tokens with a latent cosine of ``cosine`` are candidates. Kept are those whose longest common
     subsequence covers ``share`` of the item's passage and that hold at least half of its ``answers`` rarest words.
-    ``share`` is the largest over the passages. Nulls, short and repeated texts: as in ``leaked_items``.
+    ``share`` is the largest over the passages. All clusters are probed, so no pair of passages with that cosine is missed.
+    Nulls, short and repeated texts: as in ``leaked_items``.
     """
-    docs, rows = _inputs(documents, items)
+    docs, parts = _inputs(documents, items)
     latent = fit(docs)
-    held = docs.sparkSession.sparkContext.broadcast((latent, Items(rows, latent, length, length // 4)))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def find(held, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lat, it = held.value
         rare = [h[np.argsort(-lat.weight[_bucket(h)], kind="stable")][:answers] for h in (it.h[int(i)][s : s + length] for i, s in zip(it.item, it.start, strict=True))]
         for b in batches:
@@ -271,7 +301,7 @@ def paraphrased_items(documents: DataFrame, items: DataFrame, length: int = 48,
                 starts = np.unique(np.r_[np.arange(0, len(h) - length + 1, length // 4), len(h) - length])
                 for q in range(0, len(starts), 1024):
                     at = starts[q : q + 1024]
-                    r, w = it.search(lat.windows(h, at, length), cosine, 3)
+                    r, w = it.search(lat.windows(h, at, length), cosine, len(it.center))
                     for x, y in zip(r, w, strict=True):
                         item, mine = int(it.item[y]), h[at[x] : at[x] + length]
                         if np.isin(rare[y], mine).sum() * 2 >= len(rare[y]):
@@ -281,4 +311,9 @@ def paraphrased_items(documents: DataFrame, items: DataFrame, length: int = 48,
             k = list(best)
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in k], pa.int64()), pa.array([x[1] for x in k], pa.int64()), pa.array([best[x] for x in k], pa.float64())], names=["doc_id", "item_id", "share"])
 
-    return docs.mapInArrow(find, "doc_id long, item_id long, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+    found = None
+    for part in parts:
+        held = docs.sparkSession.sparkContext.broadcast((latent, Items(_rows(part), latent, length, length // 4)))
+        got = docs.mapInArrow(functools.partial(find, held), "doc_id long, item_id long, share double")
+        found = got if found is None else found.union(got)
+    return found.groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))

@@ -25,6 +25,7 @@ QUERIES = {
     "p6_paraphrases": lambda s, d: leakage.paraphrased_items(table(s, d, "documents"), table(s, d, "eval_items")),
     "p7_mix": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "source_weights")).selection(),
     "p7_shares": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "source_weights")).shares(),
+    "p7_invariants": lambda s, d: mixing.Mix(table(s, d, "documents"), table(s, d, "source_weights")).invariants(),
     "p8_found": lambda s, d: residue.residue(table(s, d, "documents")).select("doc_id"),
     "p8_kinds": lambda s, d: residue.residue(table(s, d, "documents")),
 }
@@ -56,7 +57,12 @@ r AS (SELECT id_a AS a, id_b AS b FROM f JOIN m x ON x.id = id_a JOIN m y ON y.i
 v AS (SELECT a, b FROM r UNION ALL SELECT b, a FROM r),
 z AS (SELECT a, b FROM v UNION SELECT z.a, v.b FROM z JOIN v ON v.a = z.b)"""
 
+_P7 = r"""
+w AS (SELECT replace(lower(trim(source)), '-', '_') AS source, max(weight) AS weight, arg_max(coalesce(max_repeats, 1), weight) AS max_repeats FROM source_weights WHERE source IS NOT NULL AND weight > 0 GROUP BY 1),
+d AS (SELECT replace(lower(trim(source)), '-', '_') AS source, count(*) AS n_docs FROM documents WHERE doc_id IS NOT NULL AND regexp_matches(text, '\S') GROUP BY 1)"""
+
 SQL = {
+    "p7_invariants": f"WITH {_P7} SELECT source, n_docs, round(weight / sum(weight) OVER (), 9) AS target_share, max_repeats, true AS in_target, true AS repeats_kept, true AS uses_distinct FROM w JOIN d USING (source) WHERE max_repeats > 0",
     "p4_groups": f"""WITH RECURSIVE {_P4}, {_P4_GROUPS} SELECT m.id, m.cid AS class_id, least(m.cid, coalesce((SELECT min(b) FROM z WHERE z.a = m.cid), m.cid)) AS group_id,
       (SELECT count(*) FROM v WHERE v.a = m.cid) AS n_links FROM m""",
     "p6_found": f"WITH {_P6} SELECT DISTINCT x.id AS doc_id, y.id AS item_id FROM x JOIN y ON x.g = y.g",

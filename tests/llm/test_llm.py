@@ -156,6 +156,46 @@ def test_paraphrases(spark):
     assert leakage.leaked_items(empty, i).count() == 0 and leakage.leaked_items(d, i.limit(0)).count() == 0
 
 
+def test_paraphrase_recall(spark):
+    """Passages with words dropped, replaced and swapped; the figures are in the README."""
+    rng = random.Random(12)
+    vocab = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{i}" for i in range(3000)]
+    word = lambda: vocab[min(2999, int(20 * rng.paretovariate(1)) - 20)]  # the most frequent word is a twentieth of the text, as in prose
+    items = [(i, [word() for _ in range(rng.randint(60, 120))]) for i in range(60)]
+    docs, want = [], set()
+    for d in range(300):
+        text = [word() for _ in range(rng.randint(30, 300))]
+        if d % 2:
+            i, src = items[rng.randrange(60)]
+            part = [w if rng.random() > 0.1 else word() for w in src if rng.random() > 0.12]
+            for _ in range(4):
+                p = rng.randrange(len(part) - 1)
+                part[p], part[p + 1] = part[p + 1], part[p]
+            at = rng.randrange(len(text))
+            text[at:at] = part
+            want.add((d, i))
+        docs.append((d, " ".join(text)))
+    got = leakage.paraphrased_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string"))
+    have = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    print("paraphrases", len(want), len(have & want), len(have - want))
+    assert len(have & want) >= 0.9 * len(want) and len(have - want) <= 0.02 * len(want)
+
+
+def test_items_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEM_CHARS", 200)
+    text = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(12)]
+    docs = spark.createDataFrame([(i, "intro " + t) for i, t in enumerate(text)], "doc_id long, text string")
+    items = spark.createDataFrame([(100 + i, t) for i, t in enumerate(text)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(docs, items).collect()} == {(i, 100 + i) for i in range(12)}
+
+
+@given(st.lists(st.integers(0, 3), max_size=20), st.lists(st.integers(0, 3), max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_common_run(a, b):
+    want = max((n for n in range(1, len(a) + 1) for i in range(len(a) - n + 1) for j in range(len(b) - n + 1) if a[i : i + n] == b[j : j + n]), default=0)
+    assert leakage.common_run(np.array(a, np.uint32), np.array(b, np.uint32)) == want
+
+
 @given(st.lists(st.integers(0, 5), max_size=30), st.lists(st.integers(0, 5), max_size=30))
 @settings(max_examples=100, deadline=None)
 def test_common_subsequence(a, b):
@@ -200,6 +240,19 @@ def test_mix(spark):
     assert mixing.Mix(docs.limit(0), w).selection().count() == 0
 
 
+def test_mix_limits(spark, monkeypatch):
+    """Units larger than shards, several uses a unit, a source that may not be used and one that may be used once by default."""
+    docs, _ = _mix_tables(spark)
+    w = spark.createDataFrame([("big", 0.2, None), ("small_one", 0.7, 40), ("other", 0.1, 0)], "source string, weight double, max_repeats int")
+    monkeypatch.setattr(mixing, "UNITS", 12)
+    m = mixing.Mix(docs, w, shard_tokens=500)
+    assert m.within > 1 and m.units.count() <= 4 * 12 and set(m.sources) == {"big", "small_one"}
+    rows = {r["source"]: r for r in m.invariants().collect()}
+    assert all(r["in_target"] and r["repeats_kept"] and r["uses_distinct"] for r in rows.values()) and len(rows) == 2
+    sel = m.selection().groupBy("shard").agg({"n_tokens": "sum", "pos": "max", "*": "count"}).collect()
+    assert all(r["max(pos)"] == r["count(1)"] for r in sel) and len(sel) > 12
+
+
 # --- problem 8 ----------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("text", "want"),
