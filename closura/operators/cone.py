@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from closura.functions import text as T
 from closura.operators.graph import Graph
+from closura.plans.staging import Stage
 
 
 def impact_cone(g: Graph, roots: DataFrame, depth: int = 2, hub: int = T.HUB, frontier: int = T.CONE_FRONTIER) -> tuple[DataFrame, DataFrame]:
@@ -98,16 +99,19 @@ def referenced_by(g: Graph, levels: DataFrame) -> DataFrame:
 def explain(provenance: DataFrame, asked: DataFrame, longest: int = 8) -> DataFrame:
     """(trial, node, depth, via, edge, rule): every recorded reason from a node back to the seeds.
 
-    ``provenance`` has (trial, node, via, edge, rule). Each node is visited once, at most ``longest`` steps away; rules
-    strictly lower levels, so two steps are the rule and a third comes only through packing.
+    ``provenance`` has (trial, node, via, edge, rule). Each node is visited once, at most ``longest`` steps away; the loop
+    ends where a step finds nothing new.
     """
-    step = provenance.select("trial", F.col("node").alias("at"), "via", "edge", "rule")
-    cur = seen = asked.select("trial", "node", F.col("node").alias("at")).distinct()
+    stage = Stage(provenance.sparkSession, "explain")
+    step = stage.put(provenance.select("trial", F.col("node").alias("at"), "via", "edge", "rule"))
+    cur = seen = stage.put(asked.select("trial", "node", F.col("node").alias("at")).distinct())
     out = None
-    for d in range(1, min(longest, 3) + 1):
+    for d in range(1, longest + 1):
         hit = cur.join(step, ["trial", "at"]).select("trial", "node", F.lit(d).alias("depth"), "via", "edge", "rule")
         out = hit if out is None else out.union(hit)
-        cur = hit.select("trial", "node", F.col("via").alias("at")).distinct().join(seen, ["trial", "node", "at"], "left_anti")
+        cur, n = stage.counted(hit.select("trial", "node", F.col("via").alias("at")).distinct().join(seen, ["trial", "node", "at"], "left_anti"))
+        if not n:
+            break
         seen = seen.union(cur)
     return out
 

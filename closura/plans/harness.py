@@ -11,6 +11,7 @@ from closura.functions import text as T
 from closura.operators import candidates as C
 from closura.operators import packing
 from closura.operators.graph import PROFILES, Graph
+from closura.plans.skew import ranked
 from closura.plans.staging import Stage
 
 TRIALS, SEEDS = 100, 6
@@ -42,9 +43,7 @@ def sampled_seeds(g: Graph, trials: int = 200, size: int = SEEDS, rng_seed: int
     n, rng = pool.count(), random.Random(rng_seed)
     picks = [(t, i, p + 1) for t in range(trials) for i, p in enumerate(rng.sample(range(n), size))] if n >= size else []
     spark = pool.sparkSession
-    rank = Window.orderBy("id")
-    ids = pool.withColumn("p", F.row_number().over(rank))
-    return spark.createDataFrame(picks, "trial long, place int, p int").join(ids, "p").select("trial", "place", F.col("id").alias("node"))
+    return spark.createDataFrame(picks, "trial long, place int, p long").join(ranked(pool, "id"), "p").select("trial", "place", F.col("id").alias("node"))
 
 
 def budgets(seeds: DataFrame) -> DataFrame:
@@ -97,9 +96,14 @@ class Compiled:
 
 def distribution(df: DataFrame, value: str, by: list[str]) -> DataFrame:
     """(by..., n, least, median, mean, p90, p99, most); pXX is the element at index min(n-1, int(n * q)) of the sorted values."""
-    at = lambda q: F.element_at("v", (F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(q))) + 1).cast("int"))
-    g = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_list(value)).alias("v"), F.count(value).alias("n"), F.min(value).alias("least"), F.expr(f"percentile({value}, 0.5)").alias("median"), F.avg(value).alias("mean"), F.max(value).alias("most"))
-    return g.select(*by, "n", "least", "median", "mean", at(0.9).alias("p90"), at(0.99).alias("p99"), "most")
+    # counted per value before the shuffle: what a group's task holds are its distinct values
+    few = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_k"))
+    group, order = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(value)
+    upto = few.withColumns({"_n": F.sum("_k").over(group), "_upto": F.sum("_k").over(order)})
+    at = lambda q: F.min(F.when(F.col("_upto") > F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(q))), F.col(value)))
+    middle = (at(0.5) + F.min(F.when(F.col("_upto") > F.floor((F.col("_n") - 1) / 2), F.col(value)))) / 2
+    g = upto.groupBy(*by).agg(F.max("_n").alias("n"), F.min(value).alias("least"), middle.alias("median"), (F.sum(F.col(value) * F.col("_k")) / F.max("_n")).alias("mean"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max(value).alias("most"))
+    return g.select(*by, "n", "least", "median", "mean", "p90", "p99", "most")
 
 
 def within_tolerance(observed: dict[str, float], predicted: dict[str, float], low: float = 0.1, high: float = 10.0) -> dict[str, bool]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from closura.plans.staging import Stage
+
 #: Keys tracked by the heavy-hitter sketch; its counts are off by at most about rows / TRACKED * 3.5.
 TRACKED, SHARE = 8192, 0.01
 
@@ -32,3 +34,16 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, heavy: list, s
     lhs = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0))
     rhs = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return lhs.join(rhs, [key, "_salt"], "left").drop("_salt")
+
+
+def ranked(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with ``p``, the place of each row by ``key`` from 1 on (keys are unique), without one task for all rows.
+
+    Rows are range-partitioned and ranked within their range; the ranges' sizes, a row a partition, give the offsets.
+    """
+    stage, n = Stage(df.sparkSession, "ranked"), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = stage.put(df.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).withColumn("_base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    return cut.join(F.broadcast(sizes), "_part").withColumn("p", own + F.col("_base")).drop("_part", "_base")

@@ -1,13 +1,17 @@
 import json
+import random
+import statistics
 
 import pytest
 from helpers import RAW_EDGE, RAW_SYMBOL, graph, rows, seeds, sym
+from pyspark.sql import functions as F
 
 from closura.api import Engine
 from closura.operators import cone, emission, extraction, retrieval
 from closura.operators import seeds as S
 from closura.plans import cypher, harness
 from closura.plans.config import Config
+from closura.plans.skew import ranked
 from closura.sources import graph_io
 
 NAMES = ["django.db.query.QuerySet.filter", "django.contrib.query.QuerySet.filter", "django.db.query.QuerySet.build", "django.db.query", "pkg.Thing2", "pkg.OtherThing"]
@@ -156,11 +160,41 @@ def test_fold_and_order():
     assert f["G"][1] is not None and f["H"] == (True, None, 4098) and not f["I"][0]
     bases = {"O": [], "A": ["O"], "B": ["O"], "C": ["A", "B"]}
     assert extraction.linearize("C", bases) == ["C", "A", "B", "O"]
-    assert extraction.surface("X", {"X": ["gone"]}, {"X": ["def a(self): ..."]}) == ([("def a(self): ...", "X")], True)
+    assert extraction.fold({"A": "{'x': 1, 'y': [2, -3]}", "B": "{**A}", "C": "(A, 1) * 5000", "D": "not A or 0", "E": "1 if A else 2"}) == {"A": (True, "{'x': 1, 'y': [2, -3]}", 22), "B": (False, None, 0), "C": (False, None, 0), "D": (True, "False", 5), "E": (False, None, 0)}
     assert extraction.scip_name("local 12") is None
     assert extraction.scip_name("scip-python python requests 2 `src.requests.sessions`/Session#get().") == "requests.sessions.Session.get"
 
 
+def test_surfaces(spark):
+    classes = spark.createDataFrame([("O", ["def a(self): ...", "x: int", "def _h(self): ..."]), ("A", ["def a(self, z): ...", "def a(self): ..."]), ("B", ["x: str"]), ("C", ["def _own(self): ..."]), ("X", ["def a(self): ..."]), ("Y", []), ("Z", [])], "fqn string, members array<string>")
+    deep = [(f"D{i}", 0, f"D{i + 1}") for i in range(70)]
+    more = spark.createDataFrame([(f"D{i}", ["def end(self): ..."] if i == 70 else []) for i in range(71)], "fqn string, members array<string>")
+    bases = spark.createDataFrame([("A", 0, "O"), ("B", 0, "O"), ("C", 0, "A"), ("C", 1, "B"), ("X", 0, "gone"), ("Y", 0, "Z"), ("Z", 0, "Y"), *deep], "fqn string, place int, base string")
+    got = {r["fqn"]: (r["body"], r["partial"]) for r in extraction.surfaces(classes.union(more), bases).collect()}
+    assert got["C"] == ("    def _own(self): ...\n    def a(self, z): ...  # from A\n    x: str  # from B\n", False)
+    assert got["O"][0].count("\n") == 3 and got["X"] == ("    def a(self): ...\n", True) and got["Y"] == ("    ...\n", True)
+    assert got["D0"] == ("    def end(self): ...  # from D70\n", False) and len(got) == 78
+
+
+def test_ids_move_to_free_numbers(spark, monkeypatch):
+    from closura.functions import text as T
+
+    monkeypatch.setattr(T, "name_id", lambda c: F.length(c).cast("long"))
+    got = {r["fqn"]: r["id"] for r in extraction.assign_ids(spark.createDataFrame([("a",), ("b",), ("c",), ("dd",), ("ee",), ("fff",)], "fqn string")).collect()}
+    assert got["a"] == 1 and got["dd"] == 2 and got["fff"] == 3 and sorted(got.values()) == [1, 2, 3, 4, 5, 6]
+
+
+def test_ranked_and_distribution(spark):
+    rng = random.Random(3)
+    keys = rng.sample(range(10_000), 300)
+    got = [(r["k"], r["p"]) for r in ranked(spark.createDataFrame([(k,) for k in keys], "k long"), "k").collect()]
+    assert sorted(got) == [(k, i + 1) for i, k in enumerate(sorted(keys))]
+    for n in (1, 2, 9, 10):
+        v = sorted(rng.choices(range(30), k=n))
+        r = harness.distribution(spark.createDataFrame([("a", x) for x in [*v, None]], "g string, v int"), "v", ["g"]).first()
+        assert (r["n"], r["least"], r["median"], r["p90"], r["p99"], r["most"]) == (n, v[0], statistics.median(v), v[min(n - 1, int(n * 0.9))], v[min(n - 1, int(n * 0.99))], v[-1])
+
+
 def test_own_scope():
     rows_ = {r["fqn"]: [u["type"] for u in r["uses"]] for r in extraction.scan_text("m.py", "@register\nclass Foo(Base):\n    def method(self):\n        inner_call()\n")}
     assert rows_ == {"m": [], "m.Foo": ["REFERENCES_TYPE", "DECORATED_BY"], "m.Foo.method": ["CALLS"]}
