@@ -127,10 +127,6 @@ _MASK = re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{5,}\b|\d+(?:[.,:]\d+)*")
 _WORDS = re.compile(r"[^\W_]+")
 
 
-def mask(line: str) -> str:
-    return _MASK.sub("#", " ".join(line.lower().split()))
-
-
 def residue_line(line: str) -> bool:
     """A masked line or sentence of filler, an error message or a script notice."""
     if "noscript>" in line:
@@ -165,7 +161,7 @@ class Reading:
     """The masked lines ``lo`` to ``hi`` of a text without a title and footer, ``aside``; kinds are worked out when asked for."""
 
     def __init__(self, text: str):
-        self.lines = [m for x in re.split(r"\r\n|\r|\n", text) if (m := mask(x))]
+        self.lines = [m for x in re.split(r"\r\n|\r|\n", _MASK.sub("#", text.lower())) if (m := " ".join(x.split()))]
         self.kinds: dict[int, int] = {}
         self.lo, self.hi, self.aside = 0, len(self.lines), []
         if self.hi > 1 and len(self.lines[0].split()) <= 10 and _TITLE.match(self.lines[0]) and not self.kind(0):
@@ -205,7 +201,17 @@ class Reading:
         for i in sorted(range(self.lo, self.hi), key=lambda i: (-len(self.lines[i]), i)):
             if len(self.lines[i]) <= len(best):
                 break
-            best = max([best, *(x for x, k in self.sentences(i) if not k)], key=len)
+            if self.kind(i):
+                continue
+            parts = _SENTENCE.split(self.lines[i])
+            if len(parts) > 1 and len(self.lines[i].split()) > LINE and _kind(parts[0]) == 2:
+                parts = [x for x, k in self.sentences(i) if not k]
+            for x in sorted(parts, key=len, reverse=True):
+                if len(x) <= len(best):
+                    break
+                if len(parts) == 1 or not _kind(x):
+                    best = x
+                    break
         return best or None
 
 
@@ -281,12 +287,21 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Segments:
-    """Nodes (b, segment, label, sim, n), b the digest of the segment; ``df`` has segment and label, the largest label counts."""
+    """Nodes (b, segment, label, sim, n, new), b the digest of the segment, of tables of (segment, label)."""
 
     def __init__(self, df: DataFrame, stage: Stage):
-        self.stage = stage
+        self.stage, self.grown = stage, False
+        self.nodes = stage.put(self._hash(df))
+
+    @staticmethod
+    def _hash(df: DataFrame) -> DataFrame:
         once = df.where("segment is not null").groupBy("segment").agg(F.max("label").cast("int").alias("label"))
-        self.nodes = stage.put(once.mapInArrow(_hashed, "b binary, segment string, label int, sim long, n int"))
+        return once.mapInArrow(_hashed, "b binary, segment string, label int, sim long, n int").withColumn("new", F.lit(True))
+
+    def add(self, df: DataFrame) -> None:
+        """More segments; those that are nodes already stay as they are."""
+        more = self._hash(df.join(self.nodes.select("segment"), "segment", "left_anti"))
+        self.nodes, self.grown = self.stage.put(self.nodes.withColumn("new", F.lit(False)).union(more)), True
 
     @staticmethod
     def _tables(df: DataFrame, reach: int) -> DataFrame:
@@ -306,20 +321,26 @@ class Segments:
         return both.select("a", "b", "sa", "sb").mapInArrow(_similar, "a binary, b binary")
 
     def spread(self) -> DataFrame:
-        """Give every node the largest label of its component, from the labelled nodes out; returns ``nodes``."""
-        front = self.nodes.where("label > 0")
+        """Give every node the largest label of its component, from the labelled nodes out; returns ``nodes``.
+
+        In the first round only new nodes can learn anything: the others have met all labels that are older.
+        """
+        front, reach, old = self.nodes.where("label > 0"), self.nodes.where("new"), self.grown
         while True:
             ends = front.agg(F.min("n"), F.max("n"), F.max("label")).first()
             if ends[0] is None:
                 return self.nodes
-            may = self.nodes.where(F.col("n").between(SIMILAR * ends[0], ends[1] / SIMILAR) & (F.col("label") < ends[2]))
+            may = reach.where(F.col("n").between(SIMILAR * ends[0], ends[1] / SIMILAR) & (F.col("label") < ends[2]))
             found = self.similar(front, may).join(front.select(F.col("b").alias("a"), F.col("label").alias("to")), "a").groupBy("b").agg(F.max("to").alias("to"))
-            front = self.stage.put(self.nodes.join(found, "b").where("to > label").select("b", "segment", F.col("to").alias("label"), "sim", "n"))
-            if front.isEmpty():
+            front, n = self.stage.counted(self.nodes.join(found, "b").where("to > label").select("b", "segment", F.col("to").alias("label"), "sim", "n", "new"))
+            if n:
+                up = front.select("b", F.col("label").alias("to"))
+                self.nodes = self.stage.put(self.nodes.join(up, "b", "left").select("b", "segment", F.coalesce("to", "label").alias("label"), "sim", "n", "new"))
+            if old:  # the old nodes haven't met the labels of new ones
+                front, old = self.nodes.where("new and label > 0"), False
+            elif not n:
                 return self.nodes
-            up = front.select("b", F.col("label").alias("to"))
-            before, self.nodes = self.nodes, self.stage.put(self.nodes.join(up, "b", "left").select("b", "segment", F.coalesce("to", "label").alias("label"), "sim", "n"))
-            self.stage.drop(before)
+            reach = self.nodes
 
 
 def residue(documents: DataFrame) -> DataFrame:
@@ -342,7 +363,7 @@ def residue(documents: DataFrame) -> DataFrame:
     may = read.where("segment is not null").join(labels, "segment", "left_semi").select("id").distinct()
     more = stage.put(docs.join(may, "id", "left_semi").mapInArrow(_expand, "id long, doc binary, segment string, needed boolean, label int"))
     if not more.isEmpty():
-        graph = Segments(graph.nodes.select("segment", "label").union(more.select("segment", "label")), stage)
+        graph.add(more.select("segment", "label"))
         labels = graph.spread().where("label > 0").select("segment", F.col("label").alias("got"))
         each = more.join(labels, "segment", "left").groupBy("id", "doc").agg(F.min(F.when(F.col("needed"), F.coalesce("got", F.lit(0)))).alias("least"), F.max("got").alias("most"))
         similar = each.where("coalesce(least, 1) > 0 and most = 2").select("id").distinct()
