@@ -67,6 +67,13 @@ c2 AS (SELECT DISTINCT c1.root, src AS node FROM c1 JOIN k1 ON k1.root = c1.root
 cn AS (SELECT root, node, 1 AS depth FROM c1 UNION ALL SELECT root, node, 2 FROM c2)
 """
 
+_TYPES = "['REFERENCES_TYPE','CALLS','OVERRIDES','IMPLEMENTS','DECORATED_BY','READS_CONSTANT']"
+_WHY = f""", r1 AS (SELECT sd.trial, h.dst AS node, h.src AS via, h.type AS edge, list_position({_TYPES}, h.type) AS tp FROM sd JOIN h ON h.src = sd.node WHERE NOT EXISTS (FROM sd x WHERE x.trial = sd.trial AND x.node = h.dst)
+  QUALIFY row_number() OVER (PARTITION BY sd.trial, h.dst ORDER BY h.src, list_position({_TYPES}, h.type)) = 1),
+r2 AS (SELECT r1.trial, h.dst AS node, h.src AS via, h.type AS edge FROM r1 JOIN h ON h.src = r1.node WHERE NOT EXISTS (FROM r1 x WHERE x.trial = r1.trial AND x.node = h.dst) AND NOT EXISTS (FROM sd x WHERE x.trial = r1.trial AND x.node = h.dst)
+  QUALIFY row_number() OVER (PARTITION BY r1.trial, h.dst ORDER BY r1.via, r1.tp, r1.node, list_position({_TYPES}, h.type)) = 1),
+why AS (SELECT trial, node, via, edge, edge || '(L3)->L2' AS rule FROM r1 UNION ALL SELECT trial, node, via, edge, edge || '(L2)->L1' FROM r2)"""
+
 _ALL = "SELECT id % 100 + 100 * ((row_number() OVER (PARTITION BY id % 100 ORDER BY id) - 1) // 6) AS trial, id AS node FROM el"
 _PRELUDE_ALL = re.sub(r"\nsd AS \(.*\),\n", f"\nsd AS ({_ALL}),\n", _PRELUDE)
 
@@ -124,6 +131,11 @@ def _(s, d):
     return Graph.load(s, d).degrees().where(F.col("in_degree") > T.HUB).select("id", "in_degree")
 
 
+@query("hub_nodes_20", "SELECT id, in_degree FROM deg WHERE in_degree > 20")
+def _(s, d):
+    return Graph.load(s, d).degrees().where(F.col("in_degree") > 20).select("id", "in_degree")
+
+
 @query("kind_counts", "SELECT kind, count(*) AS n, CAST(sum(l3) AS BIGINT) AS l3_tokens FROM s GROUP BY 1")
 def _(s, d):
     return Graph.load(s, d).symbols.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("l3").alias("l3_tokens"))
@@ -206,12 +218,54 @@ def _(s, d):
     return g.admit(g.cost(g.closure(sd)), harness.budgets(sd))
 
 
+@query(
+    "exceeded_suggestions",
+    _PRELUDE.replace("600 + (trial * 37 % 38) * 200", "300 + (trial * 37 % 38) * 20") + "SELECT trial, deficit, 'raise the budget to ' || CAST(ceil((effective + deficit) / 0.95) AS BIGINT) || ' tokens or start from fewer seeds' AS suggestion FROM ad WHERE status = 'EXCEEDED'",
+    prelude=False,
+)
+def _(s, d):
+    g, sd = _g(s, d)
+    low = harness.budgets(sd).withColumn("budget", (F.lit(300) + (F.col("budget") - 600) / 10).cast("long"))
+    return Graph.suggestion(g.admit(g.cost(g.closure(sd)), low))
+
+
+@query(
+    "induced_delta",
+    """, s2 AS (SELECT trial, node FROM sd UNION SELECT trial, node FROM po WHERE place = 1),
+      gn AS (SELECT trial, node, max(level) AS level, max(seeded) AS seeded FROM (SELECT trial, node, 3 AS level, true AS seeded FROM s2 UNION ALL SELECT trial, h.dst, 2, false FROM s2 JOIN h ON h.src = s2.node) GROUP BY ALL),
+      gl AS (SELECT trial, node, max(level) AS level FROM (SELECT trial, node, level FROM gn UNION ALL SELECT trial, h.dst, 1 FROM gn JOIN h ON h.src = gn.node WHERE level = 2 AND NOT seeded) GROUP BY ALL)
+      SELECT gl.trial, gl.node, gl.level FROM gl LEFT JOIN lv ON lv.trial = gl.trial AND lv.node = gl.node AND lv.profile = 'P3' WHERE gl.level > coalesce(lv.level, 0)""",
+)
+def _(s, d):
+    g, sd = _g(s, d)
+    levels = g.closure(sd, PROFILES[:1])
+    best = C.pool(C.candidates(g, sd, levels.where("level >= 2"))).where("place = 1")
+    return g.induced_delta(levels, best.select("trial", F.lit("P3").alias("profile"), "node", F.lit(3).alias("level"))).select("trial", "node", "level")
+
+
+@query(
+    "arm_floor_status",
+    """, fl AS (SELECT trial, node, l3, prov, file, refs3 FROM sd JOIN s ON s.id = sd.node), fr AS (SELECT DISTINCT trial, unnest(refs3) AS node FROM fl),
+      fm AS (SELECT fr.trial, CAST(sum(s.ident) AS BIGINT) AS ident FROM fr JOIN s ON s.id = fr.node WHERE NOT EXISTS (FROM fl WHERE fl.trial = fr.trial AND fl.node = fr.node) GROUP BY 1),
+      fc AS (SELECT fl.trial, CAST(sum(l3 + prov) AS BIGINT) + 6 * count(*) + 13 * count(DISTINCT file) + 100 + coalesce(max(fm.ident), 0) AS floor FROM fl LEFT JOIN fm ON fm.trial = fl.trial GROUP BY 1)
+      SELECT trial, budget, floor, CASE WHEN floor > budget THEN 'EXCEEDED' ELSE 'OK' END AS status, greatest(floor - budget, 0) AS deficit FROM fc JOIN bu USING (trial)""",
+)
+def _(s, d):
+    g, sd = _g(s, d)
+    return packing.floor_status(g, sd, harness.budgets(sd))
+
+
 @query("status_histogram", "SELECT status, count(*) AS n, CAST(sum(deficit) AS BIGINT) AS deficit FROM ad GROUP BY 1")
 def _(s, d):
     return QUERIES["profile_admission"](s, d).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("deficit").alias("deficit"))
 
 
-@query("is_closed", "SELECT DISTINCT trial, profile, true AS closed FROM lv")
+@query(
+    "is_closed",
+    """, br AS (SELECT DISTINCT lv.trial, lv.profile FROM lv JOIN pr ON pr.profile = lv.profile JOIN h ON h.src = lv.node LEFT JOIN lv x ON x.trial = lv.trial AND x.profile = lv.profile AND x.node = h.dst
+      WHERE lv.level >= 2 AND coalesce(x.level, 0) < CASE WHEN lv.level >= 3 THEN least(2, CASE WHEN h.type IN ('CALLS', 'REFERENCES_TYPE') THEN direct ELSE other END) ELSE least(1, second) END)
+      SELECT DISTINCT lv.trial, lv.profile, br.trial IS NULL AS closed FROM lv LEFT JOIN br ON br.trial = lv.trial AND br.profile = lv.profile""",
+)
 def _(s, d):
     g, sd = _g(s, d)
     lv = g.closure(sd)
@@ -237,13 +291,13 @@ def _(s, d):
     return g.provenance(sd).where("seq = 1 and rule like '%(L3)->%'").select("trial", "node", "via", "edge")
 
 
-@query("closure_provenance")
+@query("closure_provenance", f"{_WHY} SELECT trial, node, CAST(1 AS INTEGER) AS seq, via, edge, rule FROM why")
 def _(s, d):
     g, sd = _g(s, d)
     return g.provenance(sd)
 
 
-@query("provenance_complete", "SELECT count(*) AS non_seeds, CAST(0 AS BIGINT) AS without_reason FROM lv WHERE profile = 'P3' AND NOT EXISTS (FROM sd WHERE sd.trial = lv.trial AND sd.node = lv.node)")
+@query("provenance_complete", f"{_WHY} SELECT count(*) AS non_seeds, count(CASE WHEN NOT EXISTS (FROM why WHERE why.trial = lv.trial AND why.node = lv.node) THEN 1 END) AS without_reason FROM lv WHERE profile = 'P3' AND NOT EXISTS (FROM sd WHERE sd.trial = lv.trial AND sd.node = lv.node)")
 def _(s, d):
     g, sd = _g(s, d)
     others = g.closure(sd, PROFILES[:1]).join(sd, ["trial", "node"], "left_anti")
@@ -257,7 +311,7 @@ def _(s, d):
     return cone.referenced_by(g, g.closure(sd, PROFILES[:1]))
 
 
-@query("explain_chains")
+@query("explain_chains", f"{_WHY} SELECT trial, node, CAST(1 AS INTEGER) AS depth, via, edge, rule FROM why UNION ALL SELECT a.trial, a.node, 2, b.via, b.edge, b.rule FROM why a JOIN why b ON b.trial = a.trial AND b.node = a.via")
 def _(s, d):
     g, sd = _g(s, d)
     p = g.provenance(sd)

@@ -134,6 +134,30 @@ class Graph:
         have = levels.select("trial", "profile", F.col("node").alias("dst"), "level")
         return fired.join(have, ["trial", "profile", "dst"], "left").fillna(0, ["level"]).where("needed > level").select("trial", "profile", "src", "type", "dst", "needed", "level")
 
+    def induced_delta(self, levels: DataFrame, raised: DataFrame, profiles: tuple[Profile, ...] = PROFILES) -> DataFrame:
+        """(trial, profile, node, level): what rises, and to which level, when ``raised`` joins the closed ``levels``.
+
+        Both have (trial, profile, node, level). As rules strictly lower the level, the rises are those of the raised nodes,
+        of their targets and of the targets' targets: two joins, which read only what is raised.
+        """
+        p = F.create_map(*[x for q in profiles for x in (F.lit(q.name), F.struct(F.lit(q.direct).alias("direct"), F.lit(q.other).alias("other"), F.lit(q.second).alias("second")))])
+        key = ["trial", "profile", "node"]
+        had = levels.select(*key, F.col("level").alias("had"))
+
+        def rising(df: DataFrame) -> DataFrame:
+            most = df.groupBy(*key).agg(F.max("level").alias("level"))
+            return most.join(had, key, "left").where(F.col("level") > F.coalesce("had", F.lit(0))).select(*key, "level")
+
+        def step(front: DataFrame) -> DataFrame:
+            fired = front.where("level >= 2").join(self.hard, F.col("node") == F.col("src")).withColumn("p", p[F.col("profile")])
+            need = required(F.col("level"), F.col("type"), F.col("p.direct"), F.col("p.other"), F.col("p.second"))
+            return fired.select("trial", "profile", F.col("dst").alias("node"), need.alias("level"))
+
+        first = rising(raised)
+        near = rising(first.union(step(first)))
+        fresh = near.join(first, [*key, "level"], "left_anti")
+        return rising(near.union(step(fresh)))
+
     # -- cost and admission ------------------------------------------------------------------------------------
     def emitted(self, levels: DataFrame) -> DataFrame:
         """``levels`` of 2 and above with the symbol's scalars; ``refs`` and ``tokens`` are those of the level."""
@@ -166,3 +190,9 @@ class Graph:
         ok = F.col("b").isNotNull()
         status = F.when(~ok, "EXCEEDED").when(F.col("b.profile") == top.name, "OK").otherwise(F.concat(F.lit("DEMOTED:"), F.col("b.profile")))
         return g.select("trial", "budget", "effective", status.alias("status"), F.when(ok, F.col("b.profile")).otherwise(floor.name).alias("profile"), F.when(ok, F.col("b.cost")).otherwise(F.col("floor")).alias("cost"), F.when(~ok, F.col("floor") - F.col("effective")).otherwise(0).alias("deficit"))
+
+    @staticmethod
+    def suggestion(admission: DataFrame) -> DataFrame:
+        """(trial, deficit, suggestion) of the contexts that exceed their budget even under the floor profile."""
+        text = F.format_string("raise the budget to %d tokens or start from fewer seeds", F.ceil((F.col("effective") + F.col("deficit")) / F.lit(1 - T.RESERVE)))
+        return admission.where("status = 'EXCEEDED'").select("trial", "deficit", text.alias("suggestion"))

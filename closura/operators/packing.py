@@ -71,28 +71,42 @@ class Ledger:
         return extra
 
 
-def pack(ledger: Ledger, pool: list[tuple[int, float]], room: int) -> tuple[list[tuple[int, int, float, float]], int, int, int]:
-    """Admit candidates (node, score) at level 2 until none fits ``room``: (admitted, room, rounds, evaluated).
+    def bundle(self, raises: list[tuple[int, int]], keep: bool) -> int:
+        """Tokens that raising several nodes together adds, each (node, level); put in force only with ``keep``."""
+        if len(raises) == 1 and not keep:
+            return self.price(*raises[0])
+        before = None if keep else (dict(self.level), dict(self.named), dict(self.files), self.total)
+        extra = sum(self.raise_to(*r) for r in raises)
+        if before:
+            self.level, self.named, self.files, self.total = before
+        return extra
+
+
+def pack(ledger: Ledger, pool: list[tuple], room: int) -> tuple[list[tuple[int, int, float, float]], int, int, int]:
+    """Admit candidates (node, score[, raises]) until none fits ``room``: (admitted, room, rounds, evaluated).
 
-    Each round prices every remaining candidate again, as what is already in makes others cheaper. The highest score a
-    token wins, a price of 0 or less at once; the first in pool order wins ties; candidates that don't fit stay.
+    ``raises`` are the (node, level) that admission brings along, itself first; without them it is the node at level 2. A
+    bundle is admitted whole or not at all, so the context stays closed. Each round prices every remaining candidate again,
+    as what is already in makes others cheaper. The highest score a token wins, a price of 0 or less at once; the first in
+    pool order wins ties; candidates that don't fit stay.
     """
-    admitted, rounds, evaluated, open_ = [], 0, 0, list(pool)
+    admitted, rounds, evaluated = [], 0, 0
+    open_ = [(c[0], c[1], c[2] if len(c) > 2 and c[2] else [(c[0], 2)]) for c in pool]
     while open_:
         rounds += 1
         best = None
-        open_ = [c for c in open_ if ledger.level.get(c[0], 0) < 2]
-        for node, score in open_:
+        open_ = [c for c in open_ if ledger.level.get(c[0], 0) < c[2][0][1]]
+        for node, score, raises in open_:
             evaluated += 1
-            cost = ledger.price(node, 2)
+            cost = ledger.bundle(raises, False)
             if cost <= room:
                 value = score / cost if cost > 0 else float("inf")
                 if best is None or value > best[3]:
-                    best = (node, cost, score, value)
+                    best = (node, cost, score, value, raises)
         if best is None:
             break
-        room -= ledger.raise_to(best[0], 2)
-        admitted.append(best)
+        room -= ledger.bundle(best[4], True)
+        admitted.append(best[:4])
         open_ = [c for c in open_ if c[0] != best[0]]
     return admitted, room, rounds, evaluated
 
@@ -120,8 +134,8 @@ def _run(greedy: bool):
                 for x in sorted(r.levels, key=lambda x: x["node"]):
                     ledger.raise_to(x["node"], x["level"])
                 floor, room = ledger.total, r.room
-                pool = [(x["node"], x["score"]) for x in sorted(r.pool if r.pool is not None else [], key=lambda x: x["place"])]
-                got, left, rounds, seen = pack(ledger, pool, room - floor) if greedy else take_in_order(ledger, pool, room)
+                pool = [(x["node"], x["score"], [(y["node"], y["level"]) for y in x["raises"]]) for x in sorted(r.pool if r.pool is not None else [], key=lambda x: x["place"])]
+                got, left, rounds, seen = pack(ledger, pool, room - floor) if greedy else take_in_order(ledger, [x[:2] for x in pool], room)
                 out.append((r.trial, floor, ledger.total - floor, left, rounds, seen, [{"node": n, "cost": c, "score": s, "value": min(v, 1e308)} for n, c, s, v in got]))
             yield pd.DataFrame(out, columns=["trial", "floor", "spent", "room", "rounds", "evaluated", "admitted"])
 
@@ -142,14 +156,43 @@ def admissions(g: Graph, levels: DataFrame, pool: DataFrame, rooms: DataFrame, g
     """One row a trial with what was admitted, in order.
 
     ``levels`` (trial, node, level) is the floor, ``pool`` (trial, node, score, place) the candidates, ``rooms`` (trial,
-    room) the tokens that the whole context may cost. ``greedy``: the bundle packer; otherwise in rank order.
+    room) the tokens that the whole context may cost. ``greedy``: the bundle packer; otherwise in rank order. The pool may
+    have ``raises`` (see ``bundles``); a candidate without them is raised to level 2 alone.
     """
+    kind = "array<struct<node:bigint,level:int>>"
+    pool = pool.withColumn("raises", F.coalesce("raises", F.array().cast(kind)) if "raises" in pool.columns else F.array().cast(kind))
+    with_ = pool.select("trial", F.explode("raises").alias("x")).select("trial", "x.node")
     lv = levels.where("level >= 2").groupBy("trial").agg(F.collect_list(F.struct("node", "level")).alias("levels"))
-    pl = pool.groupBy("trial").agg(F.collect_list(F.struct("node", "score", "place")).alias("pool"))
-    rows = lv.join(_facts(g, levels.where("level >= 2"), pool), "trial").join(pl, "trial", "left").join(rooms.select("trial", F.col("room").cast("long").alias("room")), "trial")
+    pl = pool.groupBy("trial").agg(F.collect_list(F.struct("node", "score", "place", "raises")).alias("pool"))
+    rows = lv.join(_facts(g, levels.where("level >= 2"), pool.select("trial", "node").union(with_)), "trial").join(pl, "trial", "left").join(rooms.select("trial", F.col("room").cast("long").alias("room")), "trial")
     return rows.select("trial", "levels", "facts", "pool", "room").mapInPandas(_run(greedy), _OUT)
 
 
+def bundles(g: Graph, levels: DataFrame, pool: DataFrame) -> DataFrame:
+    """``pool`` (trial, profile, node, level, ...) with ``raises``: what admission of a candidate at its level brings along.
+
+    ``levels`` (trial, profile, node, level) is the closed floor. Each candidate's bundle is the closure that it induces
+    there: itself first, then the other rising nodes of level 2 and above (level 1 costs nothing) by id.
+    """
+    one = pool.select("trial", "profile", "node", "level").distinct().withColumn("key", F.concat_ws("/", "trial", "node"))
+    tried = one.select(F.col("key").alias("trial"), "profile", "node", "level")
+    floor = one.select("key", "trial", "profile").join(levels, ["trial", "profile"]).select(F.col("key").alias("trial"), "profile", "node", "level")
+    delta = g.induced_delta(floor, tried).where("level >= 2").withColumnRenamed("trial", "key").join(one.select("key", F.col("node").alias("own")), "key")
+    order = F.array_sort(F.collect_list(F.struct((F.col("node") != F.col("own")).alias("o"), "node", "level")))
+    raises = delta.groupBy("key").agg(F.transform(order, lambda x: F.struct(x["node"].alias("node"), x["level"].cast("int").alias("level"))).alias("raises"))
+    return pool.join(one.join(raises, "key").select("trial", "node", "level", "raises"), ["trial", "node", "level"], "left")
+
+
+def floor_status(g: Graph, seeds: DataFrame, budgets: DataFrame) -> DataFrame:
+    """(trial, budget, floor, status, deficit) of the baselines: EXCEEDED where the seeds alone cost more than the budget.
+
+    Those trials get nothing from ``in_rank_order``; ``deficit`` says by how many tokens they are over.
+    """
+    own = g.cost(seeds.select("trial", F.lit("P3").alias("profile"), "node", F.lit(3).alias("level")).distinct()).select("trial", F.col("cost").alias("floor"))
+    over = F.col("floor") > F.col("budget")
+    return budgets.join(own, "trial").select("trial", "budget", "floor", F.when(over, "EXCEEDED").otherwise("OK").alias("status"), F.greatest(F.col("floor") - F.col("budget"), F.lit(0)).alias("deficit"))
+
+
 def admitted_rows(packed: DataFrame) -> DataFrame:
     """(trial, place, node, cost, score, value) of ``admissions``."""
     return packed.select("trial", F.posexplode("admitted").alias("p", "a")).select("trial", (F.col("p") + 1).alias("place"), "a.node", "a.cost", "a.score", "a.value")

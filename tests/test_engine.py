@@ -76,6 +76,23 @@ def test_explain(spark):
     assert rows(got, "depth", "via") == [(1, 2), (2, 1)]
 
 
+def test_bundles(spark):
+    """A candidate at level 3 brings its callees along, whole or not at all."""
+    from closura.operators import packing
+
+    g = graph(spark, "1-CALLS->2 5-CALLS->6 5-CALLS->7 6-CALLS->8 9-CALLS->1", [sym(i, l2=10, l3=100) for i in (1, 2, 5, 6, 7, 8, 9)])
+    levels = g.closure(seeds(spark, 1)).where("profile = 'P3'")
+    pool = spark.createDataFrame([(0, "P3", 5, 3, 9.0, 1), (0, "P3", 9, 2, 0.1, 2)], "trial long, profile string, node long, level int, score double, place int")
+    got = packing.bundles(g, levels, pool)
+    assert {r["node"]: [tuple(x) for x in r["raises"]] for r in got.collect()} == {5: [(5, 3), (6, 2), (7, 2)], 9: [(9, 2)]}
+    run = lambda room: [(r["node"], r["cost"]) for r in packing.admitted_rows(packing.admissions(g, levels.select("trial", "node", "level"), got, spark.createDataFrame([(0, room)], "trial long, room long"))).collect()]
+    floor = 100 + 13 + 100 + 10 + 2 * (5 + 6)
+    bundle = 100 + 10 + 10 + 3 * (5 + 6)
+    assert run(floor + bundle + 21) == [(5, bundle), (9, 21)] and run(floor + bundle - 1) == [(9, 21)] and run(floor + 20) == []
+    tight = packing.floor_status(g, seeds(spark, 1), spark.createDataFrame([(0, 200)], "trial long, budget long")).first()
+    assert (tight["status"], tight["floor"], tight["deficit"]) == ("EXCEEDED", 224, 24)
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1.0]), (5, None), (6, [0.0, 0.0]), (7, [float("nan"), 1.0]), (8, [1.0])], "ids long, embeddings array<float>")
     idx = retrieval.clean_index(df, dim=2)
