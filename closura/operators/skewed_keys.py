@@ -23,9 +23,11 @@ def heavy_keys(edges: DataFrame, share: float = 0.02) -> DataFrame:
     towards all rows). The second has three rows, so it goes to every task; no row of ``edges`` is read twice or joined.
     """
     keys = F.array(*[F.struct(F.lit(f"edges.{f}").alias("field"), (edge_type() if f == "type" else F.col(f)).cast("string").alias("key")) for f in FIELDS])
-    state = edges.select(F.explode(keys).alias("k")).select("k.*").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n_rows"))
-    whole = state.groupBy("field").agg(F.sum("n_rows").alias("total"))
-    joined = state.where("key is not null").join(F.broadcast(whole), "field").where(F.col("n_rows") >= F.lit(share) * F.col("total"))
+    state = edges.select(F.explode(keys).alias("k")).select("k.*").groupBy("field", "key").agg(F.count(F.lit(1)).alias("n_rows"), F.count("key").alias("named"))
+    whole = state.groupBy("field").agg(F.sum("n_rows").alias("total"), F.sum("named").alias("keyed"))
+    # a filter on counts stays above the aggregation, and both sides read the same columns: they share one exchange
+    heavy = (F.col("named") > 0) & (F.col("named") <= F.col("keyed")) & (F.col("n_rows") >= F.lit(share) * F.col("total"))
+    joined = state.join(F.broadcast(whole), "field").where(heavy)
     return joined.select("field", "key", "n_rows", (F.col("n_rows") / F.col("total")).alias("share"))
 
 
