@@ -1,13 +1,13 @@
 """Problem 1: the k most similar vectors of every vector, by a block matrix join.
 
-Distinct vectors are hashed into blocks of about ``block_rows``. Every pair of blocks is one task's tile: the rows are
-quantised to int8, the tile of integer products gives each cosine with a proven error bound, and only pairs whose upper
-bound reaches the row's k-th best lower bound are computed again from the stored values. The k-th best similarity
-inside a row's own block is known before the off-diagonal tiles run and travels with the row as its threshold. Partial
-results are merged by heaps. The result is exact.
-
-The work is quadratic in the number of distinct vectors, as the task asks for all neighbours of all vectors; what a
-task holds is not: a tile has 2 * block_rows rows whatever the size of the collection, and equal vectors are one row.
+Distinct vectors are quantised to int8 and written once, with what the integers miss of each vector. A task owns a block
+of about ``block_rows`` rows and meets all other blocks in turn, read from the shared folder: the tile of integer
+products gives each cosine with a proven error bound, and only pairs whose upper bound reaches the row's k-th best
+similarity so far are computed again from the stored values. A row's best are kept in a heap. The result is exact.
+
+The work is quadratic in the number of distinct vectors, as the task asks for all neighbours of all vectors. Disk is
+not: no vector is copied for a tile, so what lies on disk is a few times the rows. Nor is what a task holds: a tile has
+2 * block_rows rows whatever the size of the collection, and equal vectors are one row.
 """
 
 from __future__ import annotations
@@ -17,15 +17,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from closura.plans.staging import Stage
 
-#: Ties are decided on cosines rounded to so many decimals; SLACK covers that rounding and the float32 scaling of a tile.
-DECIMALS, SLACK, CHUNK = 9, 4e-6, 512
-_PACKED = "cid long, block int, q binary, v binary"
-_LISTS = "cid long, nbrs binary, sims binary"
+#: Ties are decided on cosines rounded to so many decimals; SLACK covers that rounding and the float32 sums of a tile.
+DECIMALS, SLACK, CHUNK = 9, 2e-5, 512
+_PACKED = "cid long, single boolean, ids binary, scale float, err float, len float, q binary, v binary"
+_LISTS = "cid long, single boolean, nbrs array<long>, sims array<double>"
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFrame:
@@ -40,43 +43,69 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], type=pa.binary())
 
 
-def _pack(blocks: int, dim: int):
+def _values(column: pa.Array, kind: type) -> np.ndarray:
+    """All values of a column of binaries, one after the other, without a copy."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    v = v / np.abs(v).max(1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _pack(dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             v = b.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
-            u = v.astype(np.float64)
-            u /= np.linalg.norm(u / np.abs(u).max(1, keepdims=True), axis=1, keepdims=True) * np.abs(u).max(1, keepdims=True)
+            u = _unit(v)
             q = np.rint(u * (127 / np.abs(u).max(1, keepdims=True))).astype(np.int8)
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("block"), _binary(q), _binary(v)], names=["cid", "block", "q", "v"])
+            # the best scale for the integers, what they miss of the vector and their own length, both rounded up
+            whole = q.astype(np.float64)
+            s = ((u * whole).sum(1) / (whole * whole).sum(1)).astype(np.float32)
+            near = s[:, None].astype(np.float64) * whole
+            err, length = (np.nextafter(np.linalg.norm(x, axis=1).astype(np.float32), np.float32(9)) for x in (u - near, near))
+            ids = pa.array([np.array(x, np.int64).tobytes() for x in b.column("ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("single"), ids, pa.array(s), pa.array(err), pa.array(length), _binary(q), _binary(v)], schema=_SCHEMA)
 
     return run
 
 
+_SCHEMA = pa.schema([("cid", pa.int64()), ("single", pa.bool_()), ("ids", pa.binary()), ("scale", pa.float32()), ("err", pa.float32()), ("len", pa.float32()), ("q", pa.binary()), ("v", pa.binary())])
+
+
 class _Rows:
-    """The rows of one block inside a tile."""
-
-    def __init__(self, cid: np.ndarray, q: bytes, v: bytes, dim: int):
-        self.cid = cid
-        self.q = np.frombuffer(q, np.int8).reshape(-1, dim).astype(np.float32)
-        v = np.frombuffer(v, np.float32).reshape(-1, dim).astype(np.float64)
-        v = v / np.abs(v).max(1, keepdims=True)
-        self.u = v / np.linalg.norm(v, axis=1, keepdims=True)
-        # the best scale for the integers, what they miss of the vector and their own length
-        self.s = (self.u * self.q).sum(1) / (self.q * self.q).sum(1)
-        self.err = np.linalg.norm(self.u - self.s[:, None] * self.q, axis=1)
-        self.len = np.linalg.norm(self.s[:, None] * self.q, axis=1)
+    """Some packed rows inside a task."""
+
+    def __init__(self, t: pa.RecordBatch | pa.Table, dim: int):
+        get = lambda name: t.column(name).to_numpy(zero_copy_only=False)
+        self.cid, self.err, self.len = get("cid"), get("err"), get("len")
+        self.near = _values(t.column("q"), np.int8).reshape(-1, dim).astype(np.float32) * get("scale")[:, None]
+        self.v = _values(t.column("v"), np.float32).reshape(-1, dim)
+        self.ids = _values(t.column("ids"), np.int64)
+        self.n = pa.compute.binary_length(t.column("ids")).to_numpy(zero_copy_only=False) // 8
+        self.start = np.cumsum(self.n) - self.n
+        self._u = None
 
     def __len__(self) -> int:
         return len(self.cid)
 
+    @property
+    def u(self) -> np.ndarray:
+        if self._u is None:
+            self._u = _unit(self.v)
+        return self._u
+
+    def as_left(self) -> np.ndarray:
+        """Times ``as_right`` of other rows: the upper bounds of the cosines less what stands in the last column."""
+        return np.column_stack([self.near, self.err, self.len + self.err, np.zeros(len(self), np.float32)])
 
-def _products(a: _Rows, lo: int, hi: int, b: _Rows) -> tuple[np.ndarray, np.ndarray]:
-    """Estimated cosines of a[lo:hi] with b, and how far each may be off."""
-    est = (a.q[lo:hi] @ b.q.T) * np.outer(a.s[lo:hi], b.s).astype(np.float32)  # integer products below 2**24: exact in float32
-    off = np.outer(a.err[lo:hi], b.len) + np.outer(a.len[lo:hi] + a.err[lo:hi], b.err)
-    return est, off.astype(np.float32) + np.float32(SLACK)
+    def as_right(self) -> np.ndarray:
+        return np.ascontiguousarray(np.column_stack([self.near, self.len, self.err, np.full(len(self), -1, np.float32)]).T)
 
 
 def _exact(a: _Rows, b: _Rows, i: np.ndarray, j: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -100,106 +129,85 @@ def _best(row: np.ndarray, nbr: np.ndarray, sim: np.ndarray, k: int) -> tuple[np
     return row[keep], nbr[keep], sim[keep]
 
 
-def _lists(cids: np.ndarray, row: np.ndarray, nbr: np.ndarray, sim: np.ndarray) -> pa.Table:
-    if not len(row):
-        return pa.table({"cid": pa.array([], pa.int64()), "nbrs": pa.array([], pa.binary()), "sims": pa.array([], pa.binary())})
-    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    cut = [*start[1:].tolist(), len(row)]
-    pairs = list(zip(start.tolist(), cut, strict=True))
-    return pa.table({"cid": pa.array(cids[row[start]], pa.int64()), "nbrs": pa.array([nbr[a:b].tobytes() for a, b in pairs], pa.binary()), "sims": pa.array([sim[a:b].tobytes() for a, b in pairs], pa.binary())})
-
-
-def _column(t: pa.Table, name: str) -> bytes:
-    return b"".join(t.column(name).to_pylist())
+class _Block:
+    """The rows that a task owns, with the heap of each: its k best (similarity, -id) so far."""
 
+    def __init__(self, rows: _Rows, k: int):
+        self.rows, self.k, self.left = rows, k, rows.as_left()
+        self.heaps: list[list[tuple[float, int]]] = [[] for _ in range(len(rows))]
+        self.worst, self.last = np.full(len(rows), -9.0), np.full(len(rows), np.iinfo(np.int64).max)
 
-def _diagonal(k: int, dim: int):
-    """Tile of a block with itself: the k best of each row there, and the k-th similarity as threshold for other tiles."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("cid")
-        a = _Rows(t.column("cid").to_numpy(), _column(t, "q"), _column(t, "v"), dim)
-        rows, nbrs, sims = [], [], []
+    def meet(self, b: _Rows) -> None:
+        """All tiles of the block with the rows ``b``."""
+        a, right = self.rows, b.as_right()
         for lo in range(0, len(a), CHUNK):
             hi = min(lo + CHUNK, len(a))
-            est, off = _products(a, lo, hi, a)
-            low = est - off
-            kth = np.partition(low, len(a) - k, axis=1)[:, len(a) - k] if len(a) >= k else np.full(hi - lo, -9, np.float32)
-            i, j = np.nonzero(est + off >= kth[:, None])
-            i += lo
-            r, n, s = _best(i, a.cid[j], _exact(a, a, i, j, lo, hi), k)
-            rows.append(r), nbrs.append(n), sims.append(s)
-        row, nbr, sim = np.concatenate(rows), np.concatenate(nbrs), np.concatenate(sims)
-        tau = np.full(len(a), -9.0)
-        if len(a) >= k:
-            tau = sim.reshape(len(a), k)[:, -1]
-        packed = _lists(a.cid, row, nbr, sim)
-        return pa.table({"cid": t.column("cid"), "block": t.column("block"), "q": t.column("q"), "v": t.column("v"), "tau": pa.array(tau), "nbrs": packed.column("nbrs"), "sims": packed.column("sims")})
-
-    return run
-
-
-def _tile(k: int, dim: int):
-    """Tile of two blocks, both directions at once. On the diagonal the lists are already made and pass through."""
-
-    def run(t: pa.Table) -> pa.Table:
-        if t.column("lo")[0].as_py() == t.column("hi")[0].as_py():
-            return t.select(["cid", "nbrs", "sims"])
-        block, first = t.column("block").to_numpy(), t.column("lo")[0].as_py()
-        sides = []
-        for part in (t.filter(pa.array(block == first)), t.filter(pa.array(block != first))):
-            sides.append((_Rows(part.column("cid").to_numpy(), _column(part, "q"), _column(part, "v"), dim), part.column("tau").to_numpy().astype(np.float32)))
-        (a, ta), (b, tb) = sides
-        if not len(a) or not len(b):
-            return _lists(a.cid, np.array([], int), np.array([], np.int64), np.array([]))
-        out, cols = [], []
-        for lo in range(0, len(a), CHUNK):
-            hi = min(lo + CHUNK, len(a))
-            est, off = _products(a, lo, hi, b)
-            up = est + off
-            i, j = np.nonzero(up >= np.minimum(ta[lo:hi, None], tb[None, :]))
-            i += lo
-            sim = _exact(a, b, i, j, lo, hi)
-            mine, theirs = sim >= ta[i] - SLACK, sim >= tb[j] - SLACK
-            r, n, s = _best(i[mine], b.cid[j[mine]], sim[mine], k)
-            out.append(_lists(a.cid, r, n, s))
-            cols.append(_best(j[theirs], a.cid[i[theirs]], sim[theirs], k))
-        out.append(_lists(b.cid, *_best(*(np.concatenate(x) for x in zip(*cols, strict=True)), k)))
-        return pa.concat_tables(out)
-
-    return run
-
-
-def _merge(k: int):
-    """Rows sorted by cid: one heap a row over its partial lists, carried across batches."""
-
-    def flush(cid: int, heap: list[tuple[float, int]]) -> tuple[int, list[int], list[float]]:
-        best = sorted(heap, reverse=True)
-        return cid, [-n for _, n in best], [s for s, _ in best]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, heap = None, []
-        for b in batches:
-            done = []
-            for cid, n, s in zip(b.column("cid").to_pylist(), b.column("nbrs").to_pylist(), b.column("sims").to_pylist(), strict=True):
-                if cid != now:
-                    if now is not None:
-                        done.append(flush(now, heap))
-                    now, heap = cid, []
-                for x in zip(np.frombuffer(s, np.float64).tolist(), (-np.frombuffer(n, np.int64)).tolist(), strict=True):
-                    if len(heap) < k:
-                        heapq.heappush(heap, x)
-                    elif x > heap[0]:
-                        heapq.heapreplace(heap, x)
-                    else:
-                        break  # lists are sorted: nothing better follows
-            yield _out(done)
-        if now is not None:
-            yield _out([flush(now, heap)])
-
-    def _out(rows: list) -> pa.RecordBatch:
-        c, n, s = zip(*rows, strict=True) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(n, pa.list_(pa.int64())), pa.array(s, pa.list_(pa.float64()))], names=["cid", "nbrs", "sims"])
+            floor = self.worst[lo:hi]
+            if (floor < -1).any() and len(b) >= self.k:  # some heap isn't full: k rows of b have at least the k-th best lower bound
+                off = np.outer(a.err[lo:hi], b.len) + np.outer(a.len[lo:hi] + a.err[lo:hi], b.err)
+                low = a.near[lo:hi] @ b.near.T - off
+                floor = np.maximum(floor, np.partition(low, len(b) - self.k, axis=1)[:, len(b) - self.k] - SLACK)
+            self.left[lo:hi, -1] = floor - SLACK
+            i, j = np.divmod(np.flatnonzero(self.left[lo:hi] @ right >= 0), len(b))
+            if len(i):
+                self._take(b, i + lo, j, lo, hi)
+
+    def _take(self, b: _Rows, i: np.ndarray, j: np.ndarray, lo: int, hi: int) -> None:
+        sim = _exact(self.rows, b, i, j, lo, hi)
+        n = b.n[j]
+        if (n > 1).any():  # rows that stand for equal vectors: all their ids
+            at = np.repeat(b.start[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            i, sim, ids = np.repeat(i, n), np.repeat(sim, n), b.ids[at]
+        else:
+            ids = b.cid[j]
+        better = (sim > self.worst[i]) | ((sim == self.worst[i]) & (ids < self.last[i]))
+        for r, x, s in zip(*(c.tolist() for c in _best(i[better], ids[better], sim[better], self.k)), strict=True):
+            heap = self.heaps[r]
+            if len(heap) < self.k:
+                heapq.heappush(heap, (s, -x))
+            elif (s, -x) > heap[0]:
+                heapq.heapreplace(heap, (s, -x))
+            else:
+                continue
+            if len(heap) == self.k:
+                self.worst[r], self.last[r] = heap[0][0], -heap[0][1]
+
+    def lists(self, single: pa.Array) -> pa.RecordBatch:
+        best = [sorted(h, reverse=True) for h in self.heaps]
+        nbrs, sims = pa.array([[-x for _, x in h] for h in best], pa.list_(pa.int64())), pa.array([[s for s, _ in h] for h in best], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array(self.rows.cid, pa.int64()), single, nbrs, sims], names=["cid", "single", "nbrs", "sims"])
+
+
+def _files(base: str) -> tuple[pyarrow.fs.FileSystem, list[str]]:
+    """The files of a table in the shared folder. ``base``: its address, with the scheme."""
+    if base.startswith("file:"):
+        fs, path = pyarrow.fs.LocalFileSystem(), "/" + base[5:].lstrip("/")
+    else:
+        fs, path = pyarrow.fs.FileSystem.from_uri(base.replace("s3a://", "s3://", 1))
+    return fs, sorted(f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(path)) if f.base_name.startswith("part-"))
+
+
+def _sweep(base: str, k: int, dim: int, block_rows: int):
+    """Rows (file, first): the lists of the block that begins there, after it has met every block of every file."""
+
+    def batches(fs: pyarrow.fs.FileSystem, path: str) -> Iterator[pa.RecordBatch]:
+        with fs.open_input_file(path) as f:
+            yield from pq.ParquetFile(f).iter_batches(block_rows)
+
+    def run(todo: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, files = None, []
+        for t in todo:
+            for name, first in zip(t.column("file").to_pylist(), t.column("first").to_pylist(), strict=True):
+                if fs is None:
+                    fs, files = _files(base)
+                at = next(n for n, f in enumerate(files) if f.endswith(f"/{name}"))
+                with fs.open_input_file(files[at]) as f:
+                    own = pq.ParquetFile(f).read().slice(first, block_rows).combine_chunks().to_batches()[0]
+                block = _Block(_Rows(own, dim), k)
+                for path in files[at:] + files[:at]:
+                    for b in batches(fs, path):
+                        block.meet(_Rows(b, dim))
+                yield block.lists(own.column("single"))
 
     return run
 
@@ -213,30 +221,29 @@ def similar_vectors(df: DataFrame, id_col: str = "ids", vec_col: str = "embeddin
     empty table gives none. Other columns are not read. Equal vectors are one row of the matrix; each is represented by
     its k + 1 smallest ids, which is all that a list of k can need.
     """
-    spark, stage, top = df.sparkSession, Stage(df.sparkSession, "vectors"), k + 1
+    stage, top = Stage(df.sparkSession, "vectors", tidy=True), k + 1
     rows = stage.put(usable(df, id_col, vec_col, dim))
     classes = stage.put(rows.groupBy("vec").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("n")))
-    blocks = max(1, -(-classes.count() // block_rows))
-    many = classes.where("n > 1")
-    members = rows.join(many.select("vec", "cid"), "vec").select("cid", "id")
-    members = stage.put(members.union(classes.where("n = 1").select("cid", F.col("cid").alias("id"))))
+    members = stage.put(rows.join(classes.where("n > 1").select("vec", "cid"), "vec").select("cid", "id"))  # of equal vectors only
+    stage.drop(rows)
     first = Window.partitionBy("cid").orderBy("id")
-    heads = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top).select(F.col("cid").alias("nc"), F.col("id").alias("nbr"))
-
-    packed = classes.select("cid", F.pmod(F.xxhash64("cid"), F.lit(blocks)).cast("int").alias("block"), "vec").mapInArrow(_pack(blocks, dim), _PACKED)
-    diag = packed.groupBy("block").applyInArrow(_diagonal(top, dim), f"{_PACKED}, tau double, nbrs binary, sims binary")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    cells = diag.select("*", other).withColumns({"lo": F.least("o", "block"), "hi": F.greatest("o", "block")})
-    same = F.col("lo") == F.col("hi")
-    cells = cells.select("cid", "block", "lo", "hi", "tau", F.when(~same, F.col("q")).alias("q"), F.when(~same, F.col("v")).alias("v"), F.when(same, F.col("nbrs")).alias("nbrs"), F.when(same, F.col("sims")).alias("sims"))
-    partial = cells.groupBy("lo", "hi").applyInArrow(_tile(top, dim), _LISTS)
-    lists = partial.repartition("cid").sortWithinPartitions("cid").mapInArrow(_merge(top), "cid long, nbrs array<long>, sims array<double>")
-
-    # class lists -> id lists: at most k + 1 classes, each by at most k + 1 ids
-    flat = lists.select("cid", F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).select("cid", F.col("x.nbrs").alias("nc"), F.col("x.sims").alias("sim"))
-    ids = flat.join(heads, "nc").groupBy("cid").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("d"), "nbr"))), 1, top).alias("best"))
-    each = members.join(ids, "cid").select("id", F.slice(F.filter("best", lambda x: x["nbr"] != F.col("id")), 1, k).alias("best"))
-    return each.select("id", F.posexplode("best").alias("p", "x")).select("id", F.col("x.nbr").alias("nbr"), (-F.col("x.d")).alias("sim"), (F.col("p") + 1).alias("rank"))
+    heads = members.withColumn("r", F.row_number().over(first)).where(F.col("r") <= top).groupBy("cid").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    single = F.col("n") == 1
+    held = classes.join(heads, "cid", "left").select("cid", single.alias("single"), F.coalesce("ids", F.array("cid")).alias("ids"), "vec")
+    packed = stage.put(held.mapInArrow(_pack(dim), _PACKED), maxRecordsPerFile=16 * block_rows)
+    stage.drop(classes)
+
+    name = F.regexp_extract("_metadata.file_path", "[^/]+$", 0)
+    firsts = F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(block_rows))).alias("first")
+    blocks, n = stage.counted(packed.groupBy(name.alias("file")).agg(F.count(F.lit(1)).alias("n")).select("file", firsts))
+    lists = stage.put(blocks.repartition(max(1, n)).mapInArrow(_sweep(stage.address(packed), top, dim, block_rows), _LISTS))  # a task a block
+    stage.drop(blocks)
+    stage.drop(packed)
+
+    of_one = lists.where("single").withColumn("id", F.col("cid"))
+    of_many = lists.where("not single").join(members, "cid")
+    best = of_one.unionByName(of_many).select("id", F.slice(F.filter(F.arrays_zip("nbrs", "sims"), lambda x: x["nbrs"] != F.col("id")), 1, k).alias("best"))
+    return best.select("id", F.posexplode("best").alias("p", "x")).select("id", F.col("x.nbrs").alias("nbr"), F.col("x.sims").alias("sim"), (F.col("p") + 1).alias("rank"))
 
 
 def similar_pairs(df: DataFrame, **kw) -> DataFrame:

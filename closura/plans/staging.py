@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 KEY = "spark.checkpoint.dir"
+#: Spark's setting that removes the shuffle files of a job when it ends; else they stay until the driver collects its garbage.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,17 +44,24 @@ def _clean(spark: SparkSession, path: str) -> None:
 class Stage:
     """Tables of one operator run, under a folder of its own that is removed when the driver's Python ends.
 
-    Results may be read until then, as they are lazy.
+    Results may be read until then, as they are lazy. ``tidy``: the shuffle files of a table go when it is written.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+    def __init__(self, spark: SparkSession, name: str, tidy: bool = False):
+        self.spark, self.base, self.n, self.tidy = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0, tidy
         atexit.register(_clean, spark, self.base)
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, **options) -> DataFrame:
         """Write ``df`` and give it back as a table without lineage."""
         path, self.n = f"{self.base}/{self.n}", self.n + 1
-        df.write.parquet(path)
+        before = self.spark.conf.get(TIDY, None)
+        if self.tidy:
+            self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            if self.tidy:
+                self.spark.conf.unset(TIDY) if before is None else self.spark.conf.set(TIDY, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged = path
         return out
@@ -63,6 +72,11 @@ class Stage:
         out = self.put(df.observe(seen, F.count_if(F.expr(where) if isinstance(where, str) else where).alias("n")))
         return out, seen.get["n"]
 
+    def address(self, df: DataFrame) -> str:
+        """Where a staged table lies, with the scheme of its file system, for tasks that open its files themselves."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
     def drop(self, df: DataFrame) -> None:
         """Remove a staged table that nothing reads any more."""
         path = getattr(df, "_staged", None)

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import re
 
@@ -50,6 +51,38 @@ def test_few_vectors(spark):
     assert got == {(1, 2, 1, 1.0), (1, 3, 2, 0.0), (2, 1, 1, 1.0), (2, 3, 2, 0.0), (3, 1, 1, 0.0), (3, 2, 2, 0.0)}
 
 
+def _shuffled(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None))
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in stages}
+
+
+def test_vectors_are_not_copied_for_tiles(spark):
+    """What is shuffled and kept on disk doesn't grow with the number of blocks."""
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((800, 64)))], "ids long, embeddings array<float>")
+    moved = []
+    for block in (4096, 16):
+        before = _shuffled(spark)
+        assert vectors.similar_pairs(df, block_rows=block).count() > 0
+        moved.append(sum(n for k, n in _shuffled(spark).items() if k not in before))
+    assert moved[1] < 1.5 * moved[0]
+
+
+def test_staged_vectors_and_their_shuffles_go(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    df = spark.createDataFrame([(i, [float(i // 2), 1.0]) for i in range(40)], "ids long, embeddings array<float>")
+    was = set(files())
+    got = vectors.similar_vectors(df, dim=2, k=3, block_rows=8)
+    assert not [f for f in set(files()) - was if "shuffle_" in f]
+    kept = {p.rsplit("/", 2)[0] for p in got.inputFiles()}
+    assert len(kept) == 1
+    folder = kept.pop().removeprefix("file://")
+    assert len(os.listdir(folder)) == 2  # equal vectors and the lists
+    assert got.count() == 120
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+
+
 # --- problem 4 ----------------------------------------------------------------------------------------------------------
 def _texts(seed, n=60):
     rng = random.Random(seed)
