@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from closura.functions import text as T
 from closura.operators import candidates as C
-from closura.operators import cone, emission, packing, retrieval, seeds
+from closura.operators import cone, cosine_admission, emission, packing, retrieval, seeds
 from closura.operators.graph import PROFILES, Graph
 from closura.plans import cypher, harness
+from closura.plans.staging import Stage
 from closura.sources import graph_io
 from closura.sources.tables import edge_type, symbols_once, table
 
@@ -435,8 +436,10 @@ def _(s, d):
 
 @query("arm_a_admission")
 def _(s, d):
-    g, sd = _g(s, d)
-    return packing.in_rank_order(g, sd, retrieval.cosine_rank(retrieval.clean_index(table(s, d, "vector_index")), sd), harness.budgets(sd))
+    g = Graph.load(s, d)
+    g = Graph(Stage(s, "arm-a").put(g.symbols), g.edges)
+    sd = harness.trial_seeds(g)
+    return cosine_admission.in_cosine_order(g, retrieval.clean_index(table(s, d, "vector_index")), sd, harness.budgets(sd))
 
 
 # --- vectors -----------------------------------------------------------------------------------------------------------
